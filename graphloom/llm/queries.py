@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import simhash
+from graphloom.llm import langid, mixing, pieces, simhash, sketch, toxicity
 from graphloom.llm.common import table
 
 
@@ -10,9 +10,31 @@ def op1_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece(spark, sf_dir):
+    return pieces.encode(table(spark, sf_dir, "documents"))
+
+
+def op4_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op5_source_mixing(spark, sf_dir):
+    return mixing.mix_documents(table(spark, sf_dir, "documents")).select("doc_id", "source", "n_chars", "copy")
+
+
+def op8_bottom_k_fingerprints(spark, sf_dir):
+    return sketch.fingerprints(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_language_mixture(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_source_mixing": mixing.SQL}

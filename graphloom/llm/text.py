@@ -116,8 +116,10 @@ def gram_hash(running: np.ndarray, n: int) -> np.ndarray:
 class Words:
     """Words of a slice of texts: hash, byte span and the word range of each text."""
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, offsets: np.ndarray | None = None):
         self.data, self.offsets = buffers(column)
+        if offsets is not None:
+            self.offsets = offsets  # other borders than those of the texts, e.g. of paragraphs
         inside = _WORD[self.data]
         before = np.zeros(len(inside), bool)
         before[1:] = inside[:-1]
@@ -137,6 +139,27 @@ class Words:
         """The text each word lies in."""
         return np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.first))
 
+    def unique(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct hashes, a word that has each, and for every word which of them it has."""
+        return np.unique(self.hash, return_index=True, return_inverse=True)
+
+    def distinct(self, which: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct words of each text, given `unique`'s inverse and size: numbers, and their ranges."""
+        pairs = np.unique(self.text_of() * n + which)
+        texts = len(self.offsets) - 1
+        return pairs % max(n, 1), np.searchsorted(pairs, np.arange(texts + 1) * n)
+
+    def spaced(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of the given words with a space at either side of each, and where each begins."""
+        start, length = self.start[words], self.stop[words] - self.start[words]
+        at = np.zeros(len(words) + 1, np.int64)
+        np.cumsum(length + 2, out=at[1:])
+        out = np.full(at[-1], 32, np.uint8)
+        done = np.cumsum(length) - length
+        k = np.arange(int(length.sum()))
+        out[k + np.repeat(at[:-1] + 1 - done, length)] = self.data[k + np.repeat(start - done, length)]
+        return out, at
+
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all runs of k words, and the range of them each text has.
 
@@ -179,3 +202,9 @@ def segment_max(values: np.ndarray, at: np.ndarray, empty: float = 0.0) -> np.nd
     if len(full):
         out[full] = np.maximum.reduceat(values, at[full], axis=0)
     return out
+
+
+def take_ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Places start[0] .. start[0] + length[0] - 1, start[1] .. and so on."""
+    done = np.cumsum(length) - length
+    return np.arange(int(length.sum())) + np.repeat(start - done, length)
