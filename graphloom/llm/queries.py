@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import langid, mixing, pieces, simhash, sketch, toxicity
+from graphloom.llm import chat, hnsw, langid, licenses, mixing, pieces, simhash, sketch, sstable, toxicity
 from graphloom.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op2_sentencepiece(spark, sf_dir):
     return pieces.encode(table(spark, sf_dir, "documents"))
 
 
+def op3_nearest_neighbours(spark, sf_dir):
+    return hnsw.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op4_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -23,6 +27,14 @@ def op5_source_mixing(spark, sf_dir):
     return mixing.mix_documents(table(spark, sf_dir, "documents")).select("doc_id", "source", "n_chars", "copy")
 
 
+def op6_sstable_output(spark, sf_dir):
+    return sstable.write_and_verify(table(spark, sf_dir, "documents"))
+
+
+def op7_chat_formatting(spark, sf_dir):
+    return chat.format_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op8_bottom_k_fingerprints(spark, sf_dir):
     return sketch.fingerprints(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -32,9 +44,14 @@ def op9_language_mixture(spark, sf_dir):
     return langid.identify(docs, langid.train(docs))
 
 
+def op10_license_scan(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs, licenses.train(docs))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_source_mixing": mixing.SQL}
+    return {"op5_source_mixing": mixing.SQL, "op6_sstable_output": sstable.SQL}
