@@ -1,11 +1,462 @@
-"""Queries over the driver tables, with the SQL that says the same."""
+"""Queries over the driver tables, each with the SQL that says the same where SQL can.
+
+The graph is the projection of `plans.virtual`; every query runs over all of it.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.operators import duplicates, enrich, graph, reports
+from graphloom.plans import dsl
+from graphloom.plans.virtual import load, with_views
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def _add(name: str, sql: str | None = None, views: tuple[str, ...] = (), ctes: str = ""):
+    def register(f):
+        _QUERIES[name] = f
+        if sql is not None:
+            _SQL[name] = (with_views(*views) + (", " + ctes if ctes else "") + " " if views else "") + sql
+        return f
+
+    return register
+
+
+def _path(spark: SparkSession, sf_dir: str, seq: int) -> str:
+    return load(spark, sf_dir).nodes.where(F.col("node_seq") == seq).first().path
+
+
+_P = "(SELECT path FROM v_nodes WHERE node_seq = {})".format
+_INT = "e AS (SELECT path AS src, to_path AS dst, edge_seq, symbol, type FROM v_imports WHERE NOT is_external)"
+
+
+# ---- filter language ----------------------------------------------------------------------------------
+
+_TAGS = "(SELECT path FROM v_tags WHERE name = '{}')".format
+_CH = "SELECT path, count(*) FILTER (WHERE ts >= c.m - INTERVAL 90 DAYS) AS n, arg_max(author, row(ts, log_seq, author)) FILTER (WHERE ts >= c.m - INTERVAL 90 DAYS) AS author, max(ts) AS last FROM v_commits, (SELECT max(ts) AS m FROM v_commits) c GROUP BY path"
+_RATIO = "r AS (SELECT e.src, e.dst, e.edge_seq, floor(least(1.0, CASE WHEN e.symbol IS NULL THEN 1.0 ELSE 1 / CAST(x.n AS DOUBLE) END) * 10000 + 0.5) / 10000 AS ratio FROM e JOIN (SELECT path, count(*) AS n FROM v_exports GROUP BY path) x ON x.path = e.dst)"
+_USE = "u AS (SELECT src AS path, floor(sum(ratio) / count(*) * 10000 + 0.5) / 10000 AS a, max(ratio) AS m FROM r GROUP BY src)"
+_DOC = "d AS (SELECT DISTINCT e.src AS doc, e.dst AS path, CASE WHEN b.category = 'logic' AND cb.last IS NOT NULL AND (ca.last IS NULL OR cb.last > ca.last) THEN true ELSE false END AS stale FROM e JOIN v_nodes a ON a.path = e.src JOIN v_nodes b ON b.path = e.dst LEFT JOIN ch ca ON ca.path = e.src LEFT JOIN ch cb ON cb.path = e.dst WHERE a.type = 'markdown' AND e.src <> e.dst)"
+
+#: name -> (filter, SQL condition over v_nodes n, views, extra CTEs)
+FILTERS: dict[str, tuple[str, str, tuple[str, ...], str]] = {
+    "filter_category": ("category:logic", "n.category = 'logic'", (), ""),
+    "filter_category_not": ("category:!logic", "n.category <> 'logic'", (), ""),
+    "filter_type": ("type:python", "n.type = 'python'", (), ""),
+    "filter_last_author": ("lastAuthor:a7", "ch.author = 'a7'", ("v_commits",), f"ch AS ({_CH})"),
+    "filter_last_author_not": ("lastAuthor:!a7", "ch.author IS DISTINCT FROM 'a7'", ("v_commits",), f"ch AS ({_CH})"),
+    "filter_path_substr": ("path:promo", "contains(n.path, 'promo')", (), ""),
+    "filter_path_not": ("path:!_1", "NOT contains(n.path, '_1')", (), ""),
+    "filter_external": ("external:true", "n.path IN (SELECT path FROM v_imports WHERE is_external)", ("v_imports",), ""),
+    "filter_not_external": ("external:false", "n.path NOT IN (SELECT path FROM v_imports WHERE is_external)", ("v_imports",), ""),
+    "filter_tags_any": ("tag:nation_6,tag:nation_9,tag:!nation_11", f"n.path IN (SELECT path FROM v_tags WHERE name IN ('nation_6', 'nation_9')) AND n.path NOT IN {_TAGS('nation_11')}", ("v_tags",), ""),
+    "filter_tags_all": ("tag:nation_6+nation_9", f"n.path IN {_TAGS('nation_6')} AND n.path IN {_TAGS('nation_9')}", ("v_tags",), ""),
+    "filter_imports_file": ("importsFile:lib-3", "n.path IN (SELECT path FROM v_imports WHERE contains(to_path, 'lib-3'))", ("v_imports",), ""),
+    "filter_imported_by": ("importedBy:_1", "n.path IN (SELECT to_path FROM v_imports WHERE contains(path, '_1'))", ("v_imports",), ""),
+    "filter_min_max_imports": ("minImports:2,maxImports:3", "n.path IN (SELECT path FROM v_imports GROUP BY path HAVING count(*) BETWEEN 2 AND 3)", ("v_imports",), ""),
+    "filter_max_imports_zero": ("maxImports:0", "n.path NOT IN (SELECT path FROM v_imports)", ("v_imports",), ""),
+    "filter_size_range": ("minSize:10,maxSize:20", "n.size BETWEEN 10 AND 20", (), ""),
+    "filter_has_doc": ("hasDocstring:true", "n.description <> ''", (), ""),
+    "filter_no_doc": ("hasDocstring:false", "coalesce(n.description, '') = ''", (), ""),
+    "filter_is_documented": ("isDocumented:true", "n.path IN (SELECT path FROM d)", ("v_imports", "v_commits"), f"{_INT}, ch AS ({_CH}), {_DOC}"),
+    "filter_is_stale": ("isStale:true", "n.path IN (SELECT doc FROM d WHERE stale)", ("v_imports", "v_commits"), f"{_INT}, ch AS ({_CH}), {_DOC}"),
+    "filter_min_coverage": ("minCoverage:50", "coalesce(n.coverage_pct, 101) >= 50", (), ""),
+    "filter_max_coverage": ("maxCoverage:50", "coalesce(n.coverage_pct, 0) <= 50", (), ""),
+    "filter_min_export_usage": ("minExportUsage:0.3", "coalesce(u.a, -1) >= 0.3", ("v_imports", "v_exports"), f"{_INT}, {_RATIO}, {_USE}"),
+    "filter_max_export_usage": ("maxExportUsage:0.3", "coalesce(u.a, 0) <= 0.3", ("v_imports", "v_exports"), f"{_INT}, {_RATIO}, {_USE}"),
+    "filter_min_complexity": ("minComplexity:12", "n.complexity >= 12", (), ""),
+    "filter_max_complexity": ("maxComplexity:6", "coalesce(n.complexity, 0) <= 6", (), ""),
+    "filter_min_cognitive": ("minCognitiveComplexity:45", "n.cognitive >= 45", (), ""),
+    "filter_max_cognitive": ("maxCognitiveComplexity:20", "coalesce(n.cognitive, 0) <= 20", (), ""),
+    "filter_min_commits": ("minCommits:2", "ch.n >= 2", ("v_commits",), f"ch AS ({_CH})"),
+    "filter_max_commits": ("maxCommits:1", "coalesce(ch.n, 0) <= 1", ("v_commits",), f"ch AS ({_CH})"),
+    "filter_any_group": ("any(category:ui|minComplexity:13|tag:nation_7),size:ignored,maxSize:40", f"(n.category = 'ui' OR n.complexity >= 13 OR n.path IN {_TAGS('nation_7')}) AND n.size <= 40", ("v_tags",), ""),
+    "filter_not_a_number": ("minSize:abc", "false", (), ""),
+}
+
+
+def _filter(text: str, needs: set[str]):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        g = load(spark, sf_dir)
+        nodes = g.nodes
+        if "ch" in needs:
+            nodes = nodes.join(enrich.churn(g), "path", "left")
+        if "d" in needs:
+            links = enrich.doc_links(g)
+            nodes = nodes.join(links.groupBy("path").agg(F.collect_set("doc").alias("documented_by")), "path", "left").join(links.where("stale").groupBy(F.col("doc").alias("path")).agg(F.collect_set("path").alias("stale_for")), "path", "left")
+        if "u" in needs:
+            nodes = nodes.join(enrich.export_usage(g), "path", "left")
+        return dsl.run(g.with_tables(nodes=nodes), text)[0].select("node_seq", "path", "type", "category")
+
+    return run
+
+
+for _name, (_text, _where, _views, _ctes) in FILTERS.items():
+    _needs = {x for x in ("ch", "d", "u") if f"{x} AS (" in _ctes}
+    _join = " LEFT JOIN ch ON ch.path = n.path" * ("ch." in _where) + " LEFT JOIN u ON u.path = n.path" * ("u." in _where)
+    _add(_name, f"SELECT n.node_seq, n.path, n.type, n.category FROM v_nodes n{_join} WHERE {_where}", ("v_nodes", *_views), _ctes)(_filter(_text, _needs))
+
+
+@_add("query_trim_edges", "SELECT path, edge_seq, to_path, type FROM v_imports WHERE path IN (SELECT path FROM v_nodes WHERE category = 'logic') AND to_path IN (SELECT path FROM v_nodes WHERE category = 'logic')", ("v_nodes", "v_imports"))
+def query_trim_edges(spark, sf_dir):
+    return dsl.run(load(spark, sf_dir), "category:logic")[1].select("path", "edge_seq", "to_path", "type")
+
+
+_SORTED = "k AS (SELECT n.node_seq, n.path, n.category, n.size FROM v_nodes n WHERE n.category = 'logic' AND n.path IN (SELECT path FROM v_imports GROUP BY path HAVING count(*) >= 2)), t AS (SELECT i.path, count(*) AS c FROM v_imports i WHERE i.path IN (SELECT path FROM k) AND i.to_path IN (SELECT path FROM k) GROUP BY i.path)"
+
+
+@_add("query_sort_limit", "SELECT k.node_seq, k.path, k.category, k.size, CAST(coalesce(t.c, 0) AS BIGINT) AS kept_imports FROM k LEFT JOIN t ON t.path = k.path ORDER BY coalesce(t.c, 0) DESC, k.node_seq LIMIT 20", ("v_nodes", "v_imports"), _SORTED)
+def query_sort_limit(spark, sf_dir):
+    return dsl.run(load(spark, sf_dir), "category:logic,minImports:2,sort:imports,limit:20")[0].select("node_seq", "path", "category", "size", "kept_imports")
+
+
+@_add("slim_projection", "SELECT n.path, n.type, n.category, coalesce((SELECT count(*) FROM v_exports x WHERE x.path = n.path), 0) AS n_exports, coalesce((SELECT string_agg(DISTINCT name, ' ' ORDER BY name) FROM v_tags t WHERE t.path = n.path), '') AS tags, coalesce((SELECT string_agg(to_path, ' ' ORDER BY to_path) FROM v_imports i WHERE i.path = n.path AND NOT is_external), '') AS imports_files FROM v_nodes n", ("v_nodes", "v_exports", "v_tags", "v_imports"))
+def slim_projection(spark, sf_dir):
+    s = reports.slim(load(spark, sf_dir))
+    return s.select("path", "type", "category", F.size("exports").cast("bigint").alias("n_exports"), F.concat_ws(" ", "tags").alias("tags"), F.concat_ws(" ", "imports_files").alias("imports_files"))
+
+
+# ---- one hop and reachability -------------------------------------------------------------------------
+
+
+@_add("dependencies_d1", f"SELECT dst AS path, 1 AS depth, symbol FROM e WHERE src = {_P(0)} AND dst <> src", ("v_nodes", "v_imports"), _INT)
+def dependencies_d1(spark, sf_dir):
+    return graph.dependencies(load(spark, sf_dir), _path(spark, sf_dir, 0)).select("path", "depth", F.get("symbols", F.lit(0)).alias("symbol"))
+
+
+@_add("dependencies_d3", "SELECT node AS path, CAST(min(depth) AS INT) AS depth FROM b GROUP BY node HAVING min(depth) > 0", ("v_nodes", "v_imports"), f"{_INT}, b AS (SELECT path AS node, 0 AS depth FROM v_nodes WHERE node_seq = 0 UNION SELECT e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.node WHERE b.depth < 3)")
+def dependencies_d3(spark, sf_dir):
+    return graph.dependencies(load(spark, sf_dir), _path(spark, sf_dir, 0), 3).select("path", "depth")
+
+
+@_add("dependents", f"SELECT src AS path, symbol FROM e WHERE dst = {_P(8)} AND src <> dst", ("v_nodes", "v_imports"), _INT)
+def dependents(spark, sf_dir):
+    return graph.dependents(load(spark, sf_dir), _path(spark, sf_dir, 8)).select("path", F.get("symbols", F.lit(0)).alias("symbol"))
+
+
+_BACK = f"{_INT}, b AS (SELECT path AS node FROM v_nodes WHERE node_seq = 8 UNION SELECT e.src FROM b JOIN e ON e.dst = b.node)"
+_TESTS = "path IN (SELECT path FROM v_nodes WHERE category = 'test' UNION SELECT path FROM v_tags WHERE name = 'test')"
+
+
+@_add("affected", f"SELECT node AS path FROM b WHERE node <> {_P(8)}", ("v_nodes", "v_imports"), _BACK)
+def affected(spark, sf_dir):
+    return graph.affected(load(spark, sf_dir), _path(spark, sf_dir, 8)).select("path")
+
+
+@_add("affected_tests_only", f"SELECT path FROM (SELECT node AS path FROM b WHERE node <> {_P(8)}) WHERE {_TESTS}", ("v_nodes", "v_imports", "v_tags"), _BACK)
+def affected_tests_only(spark, sf_dir):
+    return graph.affected(load(spark, sf_dir), _path(spark, sf_dir, 8), tests_only=True).select("path")
+
+
+@_add("affected_symbols", f"SELECT node AS path FROM b WHERE node <> {_P(8)}", ("v_nodes", "v_imports"), f"{_INT}, b AS (SELECT src AS node FROM e WHERE dst = {_P(8)} AND (symbol IS NULL OR symbol IN ('default', '*', 's3', 's7')) UNION SELECT e.src FROM b JOIN e ON e.dst = b.node)")
+def affected_symbols(spark, sf_dir):
+    return graph.affected(load(spark, sf_dir), _path(spark, sf_dir, 8), changed_symbols=["s3", "s7"]).select("path")
+
+
+@_add("reachable_files", f"SELECT node AS path FROM b", ("v_nodes", "v_imports"), f"{_INT}, b AS (SELECT path AS node FROM v_nodes WHERE node_seq = 0 UNION SELECT e.dst FROM b JOIN e ON e.src = b.node)")
+def reachable_files(spark, sf_dir):
+    g = load(spark, sf_dir)
+    return graph.reach(graph._edges(g), graph._seeds(g, _path(spark, sf_dir, 0))).select(F.col("node").alias("path"))
+
+
+@_add("callers", f"SELECT path, depth, n_edges FROM (SELECT node AS path, CAST(min(depth) AS INT) AS depth FROM b GROUP BY node HAVING min(depth) > 0) LEFT JOIN (SELECT path, count(*) AS n_edges FROM v_calls WHERE to_file = {_P(8)} GROUP BY path) USING (path)", ("v_nodes", "v_calls"), "b AS (SELECT path AS node, 0 AS depth FROM v_nodes WHERE node_seq = 8 UNION SELECT c.path, b.depth + 1 FROM b JOIN v_calls c ON c.to_file = b.node WHERE b.depth < 2)")
+def callers(spark, sf_dir):
+    return graph.callers(load(spark, sf_dir), _path(spark, sf_dir, 8), 2).select("path", "depth", F.when(F.col("edges").isNotNull(), F.size("edges").cast("bigint")).alias("n_edges"))
+
+
+@_add("neighbours", f"SELECT n.path, n.type, n.category FROM e JOIN v_nodes n ON n.path = e.dst WHERE e.src = {_P(0)}", ("v_nodes", "v_imports"), _INT)
+def neighbours(spark, sf_dir):
+    return graph.neighbours(load(spark, sf_dir), _path(spark, sf_dir, 0)).select("path", "type", "category")
+
+
+@_add("call_edges", f"SELECT from_fn, to_fn, to_file FROM v_calls WHERE path = {_P(0)}", ("v_nodes", "v_calls"))
+def call_edges(spark, sf_dir):
+    return graph.call_edges(load(spark, sf_dir), _path(spark, sf_dir, 0))
+
+
+@_add("impact_all_pairs", "SELECT src AS path, node AS affected FROM b WHERE src <> node", ("v_nodes", "v_imports"), f"{_INT}, b AS (SELECT DISTINCT dst AS src, src AS node FROM e UNION SELECT b.src, e.src FROM b JOIN e ON e.dst = b.node)")
+def impact_all_pairs(spark, sf_dir):
+    return graph.impact_pairs(load(spark, sf_dir)).select("path", "affected")
+
+
+@_add("graph_fingerprint", "SELECT count(*) AS n, concat_ws('-', sum(('0x' || substr(h, 1, 8))::BIGINT)::VARCHAR, sum(('0x' || substr(h, 9, 8))::BIGINT)::VARCHAR, sum(('0x' || substr(h, 17, 8))::BIGINT)::VARCHAR, sum(('0x' || substr(h, 25, 8))::BIGINT)::VARCHAR) AS fingerprint FROM (SELECT md5(concat_ws(':', path, CAST(CAST(mtime AS BIGINT) AS VARCHAR), CAST(size AS VARCHAR))) AS h FROM v_nodes)", ("v_nodes",))
+def graph_fingerprint(spark, sf_dir):
+    return graph.fingerprint(load(spark, sf_dir))
+
+
+@_add("cycle_members", "SELECT DISTINCT src AS path FROM b WHERE src = node", ("v_nodes", "v_imports"), f"{_INT}, b AS (SELECT DISTINCT src, dst AS node FROM e UNION SELECT b.src, e.dst FROM b JOIN e ON e.src = b.node)")
+def cycle_members(spark, sf_dir):
+    return graph.cycle_members(load(spark, sf_dir)).select("path")
+
+
+@_add("cycles")
+def cycles(spark, sf_dir):
+    return graph.cycles(load(spark, sf_dir))
+
+
+@_add("unused_files", "SELECT path FROM (SELECT path FROM v_nodes UNION ALL SELECT concat(path, '.bak') FROM v_nodes WHERE type = 'lua') WHERE path NOT IN (SELECT path FROM v_nodes)", ("v_nodes",))
+def unused_files(spark, sf_dir):
+    g = load(spark, sf_dir)
+    return graph.unused_files(g, g.nodes.select("path").union(g.nodes.where("type = 'lua'").select(F.concat("path", F.lit(".bak")))))
+
+
+# ---- hubs, roles, API surface -------------------------------------------------------------------------
+
+_LABEL = "regexp_replace(regexp_extract(path, '[^/]*$'), '\\.[^.]*$', '')"
+_HUBS = f"h AS (SELECT e.src AS path, {_LABEL.replace('path', 'n.path')} AS label, count(*) AS out_degree, n.node_seq FROM e JOIN v_nodes n ON n.path = e.src WHERE n.category NOT IN ('test', 'barrel') GROUP BY e.src, n.node_seq, n.path HAVING count(*) >= 5)"
+_ASSIGN = "g AS (SELECT path AS hub, path AS node FROM h UNION SELECT g.hub, e.dst FROM g JOIN e ON e.src = g.node), f AS (SELECT node AS path, arg_min(g.hub, row(h.out_degree, h.node_seq)) AS hub FROM g JOIN h ON h.path = g.hub WHERE g.node <> g.hub AND g.node NOT IN (SELECT path FROM h) GROUP BY node)"
+
+
+@_add("feature_hubs", "SELECT path, label, out_degree FROM h", ("v_nodes", "v_imports"), f"{_INT}, {_HUBS}")
+def feature_hubs(spark, sf_dir):
+    return graph.feature_hubs(load(spark, sf_dir)).select("path", "label", "out_degree")
+
+
+@_add("feature_assignment", "SELECT path, hub FROM f", ("v_nodes", "v_imports"), f"{_INT}, {_HUBS}, {_ASSIGN}")
+def feature_assignment(spark, sf_dir):
+    return graph.feature_assignment(load(spark, sf_dir))
+
+
+@_add("feature_domains", "SELECT x.label, x.hub, CAST(count(f.path) AS BIGINT) AS n_files FROM (SELECT label, arg_max(path, node_seq) AS hub FROM h GROUP BY label) x LEFT JOIN f ON f.hub = x.hub GROUP BY x.label, x.hub", ("v_nodes", "v_imports"), f"{_INT}, {_HUBS}, {_ASSIGN}")
+def feature_domains(spark, sf_dir):
+    return graph.feature_domains(load(spark, sf_dir))[0].select("label", "hub", F.size("files").cast("bigint").alias("n_files"))
+
+
+@_add("feature_unassigned", "SELECT path FROM v_nodes WHERE path NOT IN (SELECT path FROM f) AND path NOT IN (SELECT path FROM h)", ("v_nodes", "v_imports"), f"{_INT}, {_HUBS}, {_ASSIGN}")
+def feature_unassigned(spark, sf_dir):
+    return graph.feature_domains(load(spark, sf_dir))[1]
+
+
+_ROLE = "CASE WHEN category = 'test' THEN 'test' WHEN category = 'config' THEN 'config' WHEN category = 'type-only' THEN 'types' " + " ".join(
+    "WHEN " + " OR ".join(f"regexp_replace(regexp_extract(path, '[^/]*$'), '\\.[^.]*$', '') = '{s[1:]}'" if s[0] == "=" else f"contains(path, '/{s}/') OR contains(path, '/{s}.')" for s in segments) + f" THEN '{name}'" for name, *segments in graph.ROLES
+) + " ELSE 'other' END"
+
+
+@_add("responsibility_roles", f"SELECT n.path, {_ROLE.replace('path', 'n.path')} AS role, CAST(coalesce(x.c, 0) AS BIGINT) AS n_exports, f.hub FROM v_nodes n LEFT JOIN f ON f.path = n.path LEFT JOIN (SELECT path, count(*) AS c FROM v_exports GROUP BY path) x ON x.path = n.path", ("v_nodes", "v_imports", "v_exports"), f"{_INT}, {_HUBS}, {_ASSIGN}")
+def responsibility_roles(spark, sf_dir):
+    return graph.responsibility(load(spark, sf_dir)).select("path", "role", F.size("exports").cast("bigint").alias("n_exports"), "hub")
+
+
+_ENTRY = "category = 'barrel' AND node_seq % 100 = 1"
+_API = f"{_INT}, en AS (SELECT path FROM v_nodes WHERE {_ENTRY}), b AS (SELECT path AS node FROM en UNION SELECT e.dst FROM b JOIN e ON e.src = b.node)"
+
+
+def _entries(g) -> list[str]:
+    return [r.path for r in g.nodes.where(_ENTRY).orderBy("node_seq").select("path").collect()]
+
+
+@_add("api_accessible_names", "SELECT DISTINCT name FROM (SELECT name FROM v_exports WHERE path IN (SELECT node FROM w) UNION ALL SELECT symbol FROM e WHERE type = 're-export' AND symbol IS NOT NULL AND src IN (SELECT node FROM w))", ("v_nodes", "v_imports", "v_exports"), f"{_INT}, w AS (SELECT path AS node FROM v_nodes WHERE {_ENTRY} UNION SELECT e.dst FROM w JOIN e ON e.src = w.node WHERE e.type = 're-export' AND e.symbol IS NULL)")
+def api_accessible_names(spark, sf_dir):
+    g = load(spark, sf_dir)
+    return graph.accessible_names(g, _entries(g))
+
+
+@_add("api_partitions", "SELECT path, CASE WHEN path IN (SELECT path FROM en) THEN 'entry' WHEN path IN (SELECT node FROM b) THEN CASE WHEN category <> 'test' THEN 'internal' ELSE 'reachable-test' END WHEN category = 'test' THEN 'test' ELSE 'unreachable' END AS part FROM v_nodes", ("v_nodes", "v_imports"), _API)
+def api_partitions(spark, sf_dir):
+    g = load(spark, sf_dir)
+    return graph.api_partitions(g, _entries(g))
+
+
+@_add("api_public_exports")
+def api_public_exports(spark, sf_dir):
+    g = load(spark, sf_dir)
+    return graph.api_surface(g, _entries(g))[0]
+
+
+_KINDS = "CASE WHEN x.signature LIKE 'interface %' THEN 'interface' WHEN x.signature LIKE 'class %' THEN 'class' ELSE 'type' END"
+_TYPES = f"ty AS (SELECT x.path AS file, x.name, {_KINDS} AS kind, n.node_seq FROM v_exports x JOIN v_nodes n ON n.path = x.path WHERE n.type IN ('typescript', 'javascript') AND (n.category = 'type-only' OR {_KINDS} <> 'type'))"
+_TEDGE = "te AS (SELECT e.src AS from_file, e.symbol AS to_type, e.dst AS to_file FROM e JOIN v_nodes n ON n.path = e.src JOIN ty ON ty.file = e.dst AND ty.name = e.symbol WHERE n.type IN ('typescript', 'javascript'))"
+
+
+@_add("type_nodes", "SELECT file, name, kind FROM ty", ("v_nodes", "v_exports"), _TYPES)
+def type_nodes(spark, sf_dir):
+    return graph.type_nodes(load(spark, sf_dir)).select("file", "name", "kind")
+
+
+@_add("type_edges", "SELECT * FROM te", ("v_nodes", "v_exports", "v_imports"), f"{_INT}, {_TYPES}, {_TEDGE}")
+def type_edges(spark, sf_dir):
+    return graph.type_edges(load(spark, sf_dir))
+
+
+@_add("type_query", "SELECT DISTINCT 'uses' AS relation, te.to_file AS file, te.to_type AS name FROM te WHERE te.from_file = (SELECT arg_min(file, node_seq) FROM ty WHERE name = 's5') UNION SELECT 'used by', te.from_file, 's5' FROM te WHERE te.to_type = 's5' AND te.to_file = (SELECT arg_min(file, node_seq) FROM ty WHERE name = 's5') UNION SELECT 'is', arg_min(file, node_seq), 's5' FROM ty WHERE name = 's5' HAVING count(*) > 0", ("v_nodes", "v_exports", "v_imports"), f"{_INT}, {_TYPES}, {_TEDGE}")
+def type_query(spark, sf_dir):
+    target, used_by, uses = graph.query_type(load(spark, sf_dir), "s5")
+    rows = lambda df, what: df.select(F.lit(what).alias("relation"), "file", "name")
+    return rows(target, "is").union(rows(used_by.withColumn("name", F.lit("s5")), "used by")).union(rows(uses, "uses"))
+
+
+@_add("call_graph_callers", "SELECT path, from_fn FROM v_calls WHERE to_fn = 's5'", ("v_calls",))
+def call_graph_callers(spark, sf_dir):
+    return graph.call_graph(load(spark, sf_dir), "s5")[1]
+
+
+@_add("call_graph_callees", "SELECT to_file, to_fn FROM v_calls WHERE from_fn = 's5' AND path = (SELECT arg_max(x.path, n.node_seq) FROM v_exports x JOIN v_nodes n ON n.path = x.path WHERE x.name = 's5')", ("v_calls", "v_exports", "v_nodes"))
+def call_graph_callees(spark, sf_dir):
+    return graph.call_graph(load(spark, sf_dir), "s5")[2]
+
+
+@_add("find_symbol", "SELECT n.path, n.category, 'call' AS precision, c.path AS user, c.from_fn AS via FROM v_exports x JOIN v_nodes n ON n.path = x.path LEFT JOIN v_calls c ON c.to_fn = 's5' WHERE x.name = 's5' AND n.type IN ('typescript', 'javascript', 'go', 'python') UNION ALL SELECT n.path, n.category, 'file-level', e.src, NULL FROM v_exports x JOIN v_nodes n ON n.path = x.path LEFT JOIN e ON e.dst = n.path AND e.src <> e.dst WHERE x.name = 's5' AND n.type NOT IN ('typescript', 'javascript', 'go', 'python')", ("v_nodes", "v_exports", "v_calls", "v_imports"), _INT)
+def find_symbol(spark, sf_dir):
+    return graph.find_symbol(load(spark, sf_dir), "s5")
+
+
+_CHANGED = "node_seq IN (8, 9, 16, 20)"
+_STOP = f"{_INT}, {_HUBS}, b AS (SELECT path AS node, 0 AS walked FROM v_nodes WHERE {_CHANGED} UNION SELECT e.src, 1 FROM b JOIN e ON e.dst = b.node WHERE b.walked = 0 OR b.node NOT IN (SELECT path FROM h))"
+
+
+def _changed(g) -> list[str]:
+    return [r.path for r in g.nodes.where(_CHANGED).select("path").collect()]
+
+
+@_add("propose_tags", f"SELECT DISTINCT tag FROM (SELECT label AS tag FROM h WHERE path IN (SELECT node FROM b) UNION ALL SELECT name FROM v_tags WHERE path NOT IN (SELECT path FROM h) AND path IN (SELECT node FROM b WHERE walked = 1) AND {_TESTS} AND path NOT IN (SELECT path FROM v_nodes WHERE {_CHANGED}))", ("v_nodes", "v_imports", "v_tags"), _STOP)
+def propose_tags(spark, sf_dir):
+    g = load(spark, sf_dir)
+    return graph.propose_tags(g, _changed(g))
+
+
+@_add("affected_tests_hub_boundary", f"SELECT DISTINCT node AS path FROM b WHERE walked = 1 AND node NOT IN (SELECT path FROM h) AND node NOT IN (SELECT path FROM v_nodes WHERE {_CHANGED}) AND node IN (SELECT path FROM v_nodes WHERE category = 'test' UNION SELECT path FROM v_tags WHERE name = 'test')", ("v_nodes", "v_imports", "v_tags"), _STOP)
+def affected_tests_hub_boundary(spark, sf_dir):
+    g = load(spark, sf_dir)
+    return graph.affected_tests(g, _changed(g))
+
+
+# ---- enrichment ---------------------------------------------------------------------------------------
+
+
+@_add("churn_90d", "SELECT path, n AS commit_count_90d, author AS last_author, last AS last_commit_at FROM ch", ("v_commits",), f"ch AS ({_CH})")
+def churn_90d(spark, sf_dir):
+    return enrich.churn(load(spark, sf_dir))
+
+
+@_add("export_usage", "SELECT path, a AS avg_export_usage, m AS max_export_usage FROM u", ("v_imports", "v_exports"), f"{_INT}, {_RATIO}, {_USE}")
+def export_usage(spark, sf_dir):
+    return enrich.export_usage(load(spark, sf_dir))
+
+
+@_add("high_export_usage", "SELECT src AS path, max(ratio) AS max_export_usage, arg_max(dst, row(ratio, -edge_seq)) AS tightest FROM r GROUP BY src HAVING max(ratio) >= 0.8", ("v_imports", "v_exports"), f"{_INT}, {_RATIO}")
+def high_export_usage(spark, sf_dir):
+    return enrich.high_export_usage(load(spark, sf_dir))
+
+
+@_add("tested_by", "SELECT b.path, string_agg(DISTINCT a.path, ' ' ORDER BY a.path) AS tests FROM e JOIN v_nodes a ON a.path = e.src JOIN v_nodes b ON b.path = e.dst WHERE a.category = 'test' AND b.category IN ('logic', 'barrel') GROUP BY b.path", ("v_nodes", "v_imports"), _INT)
+def tested_by(spark, sf_dir):
+    return enrich.tested_by(load(spark, sf_dir)).select("path", F.concat_ws(" ", "tested_by").alias("tests"))
+
+
+@_add("doc_drift", "SELECT doc, path, stale FROM d", ("v_nodes", "v_imports", "v_commits"), f"{_INT}, ch AS ({_CH}), {_DOC}")
+def doc_drift(spark, sf_dir):
+    return enrich.doc_links(load(spark, sf_dir))
+
+
+@_add("library_tags", "SELECT DISTINCT i.path, i.to_path AS name, 'library' AS kind FROM v_imports i WHERE is_external AND NOT EXISTS (SELECT 1 FROM v_tags t WHERE t.path = i.path AND t.name = i.to_path)", ("v_imports", "v_tags"))
+def library_tags(spark, sf_dir):
+    return enrich.library_tags(load(spark, sf_dir))
+
+
+@_add("test_node_tags", f"SELECT DISTINCT path, name, kind FROM (SELECT e.src AS path, {_LABEL.replace('path', 'e.dst')} AS name, 'import' AS kind FROM e UNION ALL SELECT e.src, e.symbol, 'import' FROM e WHERE e.symbol IS NOT NULL UNION ALL SELECT e.src, t.name, 'comment-marker' FROM e JOIN v_tags t ON t.path = e.dst AND t.kind = 'comment-marker' JOIN v_nodes b ON b.path = e.dst WHERE b.category <> 'test') x WHERE path IN (SELECT path FROM v_nodes WHERE category = 'test') AND NOT EXISTS (SELECT 1 FROM v_tags t WHERE t.path = x.path AND t.name = x.name AND t.kind = x.kind)", ("v_nodes", "v_imports", "v_tags"), _INT)
+def test_node_tags(spark, sf_dir):
+    return enrich.test_tags(load(spark, sf_dir))
+
+
+# ---- reports ------------------------------------------------------------------------------------------
+
+
+@_add("category_histogram", "SELECT category, count(*) AS n FROM v_nodes GROUP BY category", ("v_nodes",))
+def category_histogram(spark, sf_dir):
+    return reports.category_histogram(load(spark, sf_dir))
+
+
+@_add("language_coverage", "SELECT type, count(*) AS n, type IN ('typescript', 'javascript', 'python', 'go') AS call_edges, type IN ('typescript', 'javascript', 'python', 'go') AS complexity, type IN ('typescript', 'javascript', 'python', 'go', 'coffeescript', 'livescript', 'lua', 'gherkin') AS tags FROM v_nodes GROUP BY type", ("v_nodes",))
+def language_coverage(spark, sf_dir):
+    return reports.language_coverage(load(spark, sf_dir))
+
+
+@_add("tag_histogram", "SELECT name, count(*) AS n FROM v_tags GROUP BY name", ("v_tags",))
+def tag_histogram(spark, sf_dir):
+    return reports.tag_histogram(load(spark, sf_dir))
+
+
+@_add("complex_functions", "SELECT path, name, complexity, cognitive FROM v_functions WHERE complexity >= 10 ORDER BY complexity DESC, path, name LIMIT 20", ("v_functions",))
+def complex_functions(spark, sf_dir):
+    return reports.complex_functions(load(spark, sf_dir))
+
+
+@_add("risk_hotspots", "SELECT f.path, f.name, f.complexity, f.cognitive, n.coverage_pct, CAST(ch.n AS BIGINT) AS commit_count_90d FROM v_functions f JOIN v_nodes n ON n.path = f.path LEFT JOIN ch ON ch.path = f.path WHERE f.complexity >= 10 AND n.coverage_pct <= 50 AND (coalesce(ch.n, 0) >= 1 OR (SELECT coalesce(max(n), 0) FROM ch) = 0) ORDER BY f.complexity DESC, f.path, f.name LIMIT 20", ("v_functions", "v_nodes", "v_commits"), f"ch AS ({_CH})")
+def risk_hotspots(spark, sf_dir):
+    return reports.risk_hotspots(load(spark, sf_dir))
+
+
+@_add("uncovered", "SELECT path, coverage_pct FROM v_nodes WHERE coverage_pct < 80 AND category NOT IN ('test', 'config')", ("v_nodes",))
+def uncovered(spark, sf_dir):
+    return reports.uncovered(load(spark, sf_dir))
+
+
+@_add("data_availability", "SELECT (SELECT count(coverage_pct) > 0 FROM v_nodes) AS has_coverage, (SELECT count(*) > 0 FROM v_commits) AS has_churn", ("v_nodes", "v_commits"))
+def data_availability(spark, sf_dir):
+    return reports.availability(load(spark, sf_dir))
+
+
+@_add("workspace_deps", "SELECT DISTINCT n.package, i.workspace_package AS depends_on FROM v_imports i JOIN v_nodes n ON n.path = i.path WHERE i.is_workspace", ("v_nodes", "v_imports"))
+def workspace_deps(spark, sf_dir):
+    return reports.package_dependencies(load(spark, sf_dir))
+
+
+@_add("workspace_summary", "SELECT n.package, n.files, coalesce(d.deps, '') AS depends_on FROM (SELECT package, count(*) AS files FROM v_nodes GROUP BY package) n LEFT JOIN (SELECT a.package, string_agg(DISTINCT i.workspace_package, ' ' ORDER BY i.workspace_package) AS deps FROM v_imports i JOIN v_nodes a ON a.path = i.path WHERE i.is_workspace GROUP BY a.package) d ON d.package = n.package", ("v_nodes", "v_imports"))
+def workspace_summary(spark, sf_dir):
+    return reports.workspace_summary(load(spark, sf_dir)).select("package", "files", F.concat_ws(" ", "depends_on").alias("depends_on"))
+
+
+@_add("workspace_affected", f"SELECT node AS path FROM b WHERE node <> {_P(8)} UNION SELECT i.path FROM v_imports i JOIN v_nodes n ON n.path = i.path WHERE i.is_workspace AND i.workspace_package = (SELECT package FROM v_nodes WHERE node_seq = 8) AND n.package <> i.workspace_package", ("v_nodes", "v_imports"), f"{_INT}, ie AS (SELECT e.src, e.dst FROM e JOIN v_nodes a ON a.path = e.src JOIN v_nodes b ON b.path = e.dst WHERE a.package = b.package), b AS (SELECT path AS node FROM v_nodes WHERE node_seq = 8 UNION SELECT ie.src FROM b JOIN ie ON ie.dst = b.node)")
+def workspace_affected(spark, sf_dir):
+    return reports.affected_across_packages(load(spark, sf_dir), _path(spark, sf_dir, 8))
+
+
+@_add("package_owner", "SELECT n.path, lower(n.package) AS name FROM v_nodes n", ("v_nodes",))
+def package_owner(spark, sf_dir):
+    g = load(spark, sf_dir)
+    packages = g.nodes.groupBy(F.col("package").alias("name")).agg(F.min("node_seq").alias("pkg_seq")).select("pkg_seq", "name", F.concat(F.lit("src/"), "name").alias("relative_root"))
+    return reports.owner_packages(g, packages)
+
+
+@_add("mermaid_lines", "SELECT DISTINCT concat('  \"', path, '\" --> \"', to_path, '\"') AS line FROM v_imports", ("v_imports",))
+def mermaid_lines(spark, sf_dir):
+    return reports.mermaid_lines(load(spark, sf_dir))
+
+
+@_add("json_graph")
+def json_graph(spark, sf_dir):
+    return reports.to_json_lines(load(spark, sf_dir))
+
+
+@_add("page_links", "SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS target FROM pages")
+def page_links(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("target"))
+
+
+# ---- duplicates ---------------------------------------------------------------------------------------
+
+
+@_add("style_block_duplicates", "SELECT least(a.lines, b.lines) AS lines, a.signature, a.file AS file_a, b.file AS file_b FROM r a JOIN r b ON a.signature = b.signature AND a.file < b.file WHERE a.lines >= 3 AND b.lines >= 3", ("v_nodes", "v_exports"), "r AS (SELECT path AS file, string_agg(name, ';' ORDER BY exp_seq) AS signature, CAST(count(*) + 2 AS INT) AS lines FROM v_exports WHERE exp_seq < 2 AND path LIKE '%.css' GROUP BY path HAVING count(*) >= 2)")
+def style_block_duplicates(spark, sf_dir):
+    x = load(spark, sf_dir).exports.where("exp_seq < 2 and path like '%.css'")
+    blocks = x.groupBy(F.col("path").alias("file")).agg(F.array_sort(F.collect_list(F.struct("exp_seq", "name"))).alias("e"), F.count("*").alias("decl_count"))
+    blocks = blocks.select("file", F.lit(1).alias("start_line"), F.concat_ws(";", "e.name").alias("signature"), "decl_count", (F.col("decl_count") + 2).cast("int").alias("lines"))
+    return duplicates.style_duplicates(blocks, 3).select("lines", "signature", "file_a", "file_b")
+
+
+@_add("token_duplicates")
+def token_duplicates(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return duplicates.token_duplicates(duplicates.line_tokens(docs), width=15, min_lines=1, limit=50)
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
