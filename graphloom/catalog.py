@@ -39,7 +39,7 @@ _INT = "e AS (SELECT path AS src, to_path AS dst, edge_seq, symbol, type FROM v_
 _TAGS = "(SELECT path FROM v_tags WHERE name = '{}')".format
 _CH = "SELECT path, count(*) FILTER (WHERE ts >= c.m - INTERVAL 90 DAYS) AS n, arg_max(author, row(ts, log_seq, author)) FILTER (WHERE ts >= c.m - INTERVAL 90 DAYS) AS author, max(ts) AS last FROM v_commits, (SELECT max(ts) AS m FROM v_commits) c GROUP BY path"
 _RATIO = "r AS (SELECT e.src, e.dst, e.edge_seq, floor(least(1.0, CASE WHEN e.symbol IS NULL THEN 1.0 ELSE 1 / CAST(x.n AS DOUBLE) END) * 10000 + 0.5) / 10000 AS ratio FROM e JOIN (SELECT path, count(*) AS n FROM v_exports GROUP BY path) x ON x.path = e.dst)"
-_USE = "u AS (SELECT src AS path, floor(sum(ratio) / count(*) * 10000 + 0.5) / 10000 AS a, max(ratio) AS m FROM r GROUP BY src)"
+_USE = "u AS (SELECT src AS path, floor(CAST(sum(CAST(round(ratio * 10000) AS BIGINT)) AS DOUBLE) / count(*) + 0.5) / 10000 AS a, max(ratio) AS m FROM r GROUP BY src)"
 _DOC = "d AS (SELECT DISTINCT e.src AS doc, e.dst AS path, CASE WHEN b.category = 'logic' AND cb.last IS NOT NULL AND (ca.last IS NULL OR cb.last > ca.last) THEN true ELSE false END AS stale FROM e JOIN v_nodes a ON a.path = e.src JOIN v_nodes b ON b.path = e.dst LEFT JOIN ch ca ON ca.path = e.src LEFT JOIN ch cb ON cb.path = e.dst WHERE a.type = 'markdown' AND e.src <> e.dst)"
 
 #: name -> (filter, SQL condition over v_nodes n, views, extra CTEs)
