@@ -36,7 +36,8 @@ def _power_table(base: int, n: int) -> np.ndarray:
             step = np.uint64(pow(base, filled, 1 << 64))
             table[filled : 2 * filled] = table[:filled] * step
             filled *= 2
-        _powers[base] = table
+        if size <= 1 << 22:  # a very long text's table isn't kept
+            _powers[base] = table
     return table
 
 

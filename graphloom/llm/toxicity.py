@@ -63,22 +63,47 @@ class Model:
         return self.bias + tx.segment_sum(score[own], at)
 
 
+def _vocabulary(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words of each text as numbers, with their ranges, and the n-gram buckets of each word, with theirs.
+
+    Slice by slice, so that only the result takes memory.
+    """
+    column = tx.lower(tx.clean(column))
+    names, sizes, buckets = [], [], []
+    pairs, counts = [], []
+    for a, b in tx.slices(column):
+        part = tx.Words(column.slice(a, b - a))
+        known, sample, which = part.unique()
+        own, at = part.distinct(which, len(known))
+        pairs.append(known[own])
+        counts.append(np.diff(at))
+        made, grams = word_grams(*part.spaced(sample))
+        new = np.flatnonzero(~np.isin(known, np.concatenate(names))) if names else np.arange(len(known))
+        length = np.diff(grams)[new]
+        names.append(known[new])
+        sizes.append(length)
+        buckets.append(made[tx.take_ranges(grams[:-1][new], length)])
+    name = np.concatenate(names) if names else np.zeros(0, np.uint64)
+    order = np.argsort(name)
+    numbers = order[np.searchsorted(name[order], np.concatenate(pairs) if pairs else name)].astype(np.int32)
+    ranges = lambda x: np.concatenate([[0], np.cumsum(np.concatenate(x) if x else np.zeros(0, np.int64))]).astype(np.int64)
+    return numbers, ranges(counts), np.concatenate(buckets) if buckets else np.zeros(0, np.int32), ranges(sizes)
+
+
 def fit(column: pa.Array, toxic: np.ndarray, seed: int = 7, rounds: int = 150, l2: float = 1e-3) -> Model:
     """Fits on texts and 0/1 labels; without both classes the model calls nothing toxic."""
     toxic = np.asarray(toxic, np.float64)
     if len(toxic) < 8 or toxic.min() == toxic.max():
         return Model(np.zeros(1 << BITS, np.float32), -10.0, 0.0)
-    words = tx.Words(tx.lower(tx.clean(column)))
-    known, sample, which = words.unique()
-    own, at = words.distinct(which, len(known))
-    buckets, grams = word_grams(*words.spaced(sample))
-    doc = np.repeat(np.arange(len(toxic)), np.diff(at))
-    gram_word = np.repeat(np.arange(len(known)), np.diff(grams))
+    own, at, buckets, grams = _vocabulary(column)
+    words = len(grams) - 1
+    doc = np.repeat(np.arange(len(toxic), dtype=np.int32), np.diff(at))
+    gram_word = np.repeat(np.arange(words, dtype=np.int32), np.diff(grams))
     held = np.random.default_rng(seed).random(len(toxic)) < HELD_OUT
     train = ~held
 
     def counts(mask: np.ndarray) -> np.ndarray:
-        per_word = np.bincount(own, mask[doc].astype(np.float64), len(known))
+        per_word = np.bincount(own, mask[doc].astype(np.float64), words)
         return np.bincount(buckets, per_word[gram_word], 1 << BITS)
 
     positive, negative = counts(train & (toxic == 1)), counts(train & (toxic == 0))
@@ -89,7 +114,7 @@ def fit(column: pa.Array, toxic: np.ndarray, seed: int = 7, rounds: int = 150, l
     q = (negative + 4 * (1 - share)) / max(negative.sum(), 1.0)
     ratio = np.where(positive + negative >= 4, np.log(np.maximum(p, 1e-12) / np.maximum(q, 1e-12)), 0.0)
     used = np.flatnonzero(np.abs(ratio) > 0.7)
-    column_of = np.full(1 << BITS, -1, np.int64)
+    column_of = np.full(1 << BITS, -1, np.int32)
     column_of[used] = np.arange(len(used))
     live = column_of[buckets] >= 0
     feature, feature_word = column_of[buckets[live]], gram_word[live]
@@ -99,10 +124,10 @@ def fit(column: pa.Array, toxic: np.ndarray, seed: int = 7, rounds: int = 150, l
     balance = np.where(toxic == 1, 0.5 / max(toxic[train].sum(), 1), 0.5 / max((1 - toxic)[train].sum(), 1)) * train
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for step in range(1, rounds + 1):
-        score = np.bincount(feature_word, (w * scale)[feature], len(known))
+        score = np.bincount(feature_word, (w * scale)[feature], words)
         z = bias + np.bincount(doc, score[own], len(toxic))
         error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - toxic) * balance
-        by_word = np.bincount(own, error[doc], len(known))
+        by_word = np.bincount(own, error[doc], words)
         grad = np.append(np.bincount(feature, by_word[feature_word], len(used)) * scale + l2 * w / max(len(used), 1) ** 0.5, error.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -110,7 +135,7 @@ def fit(column: pa.Array, toxic: np.ndarray, seed: int = 7, rounds: int = 150, l
     weight = np.zeros(1 << BITS, np.float32)
     weight[used] = w * scale
     model = Model(weight, float(bias), 0.0)
-    z = bias + np.bincount(doc, np.bincount(feature_word, (w * scale)[feature], len(known))[own], len(toxic))
+    z = bias + np.bincount(doc, np.bincount(feature_word, (w * scale)[feature], words)[own], len(toxic))
     judged = held if 0 < toxic[held].sum() < held.sum() else train
     return choose(model, z[judged], toxic[judged])
 
