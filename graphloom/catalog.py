@@ -8,9 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.functions.parse import parse_table
 from graphloom.operators import duplicates, enrich, graph, reports
 from graphloom.plans import dsl
 from graphloom.plans.virtual import load, with_views
+from graphloom.streaming import watch
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -437,6 +439,24 @@ def page_links(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("target"))
 
 
+_CODE = "CASE type WHEN 'python' THEN concat('from .m', CAST(node_seq % 7 AS STRING), ' import f\\nimport os\\n') WHEN 'go' THEN concat('package a\\nimport \"p', CAST(node_seq % 7 AS STRING), '\"\\n') WHEN 'css' THEN concat('@import \"m', CAST(node_seq % 7 AS STRING), '.css\";') WHEN 'lua' THEN concat('local m = require(\"m', CAST(node_seq % 7 AS STRING), '\")') WHEN 'markdown' THEN concat('[m](./m', CAST(node_seq % 7 AS STRING), '.md)') ELSE concat('import { f } from \"./m', CAST(node_seq % 7 AS STRING), '\";\\nexport * from \"./all\";') END"
+_SPEC = "CASE type WHEN 'python' THEN './m' WHEN 'go' THEN 'p' WHEN 'css' THEN 'm' WHEN 'lua' THEN 'm' ELSE './m' END || CAST(node_seq % 7 AS STRING) || CASE type WHEN 'css' THEN '.css' WHEN 'markdown' THEN '.md' ELSE '' END"
+
+
+@_add("parsed_imports", f"SELECT path, {_SPEC} AS specifier, CASE WHEN type = 'lua' THEN 'require' ELSE 'static' END AS import_type FROM v_nodes UNION ALL SELECT path, 'os', 'static' FROM v_nodes WHERE type = 'python' UNION ALL SELECT path, './all', 're-export' FROM v_nodes WHERE type IN ('typescript', 'javascript')", ("v_nodes",))
+def parsed_imports(spark, sf_dir):
+    """Source text made up for every file, parsed by its language's parser."""
+    files = load(spark, sf_dir).nodes.select("path", "mtime", "size", F.expr(_CODE).alias("content"))
+    return parse_table(files).select("path", F.explode("imports").alias("i")).select("path", "i.specifier", F.col("i.type").alias("import_type"))
+
+
+@_add("event_windows", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY 1, 2")
+def event_windows(spark, sf_dir):
+    """The stream's event-time windows, over the table."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("value", F.round(F.col("value") * 100).cast("bigint"))
+    return watch.user_activity(events).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.col("value").alias("cents"))
+
+
 # ---- duplicates ---------------------------------------------------------------------------------------
 
 
