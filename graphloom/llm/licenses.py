@@ -51,7 +51,12 @@ def _paragraphs(column: pa.Array) -> tuple[tx.Words, np.ndarray]:
     data, offsets = tx.buffers(column)
     breaks = np.flatnonzero(data == 10) + 1
     borders = np.sort(np.concatenate([offsets, breaks]))
-    return tx.Words(column, borders), np.concatenate([np.searchsorted(borders, offsets[:-1]) + _behind(offsets), [len(borders) - 1]]) if len(offsets) > 1 else np.zeros(1, np.int64)
+    if len(offsets) == 1:
+        return tx.Words(column, borders), np.zeros(1, np.int64)
+    begin = offsets[:-1]
+    # a line end just before a text closes the last paragraph of the text before it
+    closed = (begin > 0) & (data[np.maximum(begin - 1, 0)] == 10) if len(data) else np.zeros(len(begin), bool)
+    return tx.Words(column, borders), np.append(np.searchsorted(borders, begin) + closed + _behind(offsets), len(borders) - 1)
 
 
 def _behind(offsets: np.ndarray) -> np.ndarray:

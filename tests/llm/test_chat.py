@@ -41,12 +41,6 @@ def test_brute_force_on_random_conversations():
                 assert chat.spans(m, render) == brute(m, render)
 
 
-def broken(messages):
-    if len(messages) > 1:
-        raise ValueError
-    return "x"
-
-
 def test_conversations(spark):
     rows = [(1, 1, "assistant", "B"), (1, 0, "user", "A"), (2, 0, "user", None), (2, None, None, "n"), (2, 0, "user", None), (None, 0, "user", "lost"), (3, 0, "user", "long" * 50000)]
     turns = spark.createDataFrame([(c, t, r, x, "q") for c, t, r, x in rows], "conv_id long, turn long, role string, text string, start string")
@@ -56,6 +50,12 @@ def test_conversations(spark):
     assert [(r.turn, r.role) for r in one] == [(0, "user"), (1, "assistant")] and one[0].text is None and one[1].text == "<|im_start|>user\nA<|im_end|>\n<|im_start|>assistant\nB<|im_end|>\n"
     two = [r.turn for r in got if r.conv_id == 2 and r.template == "chatml"]
     assert two == [None, 0, 0]
+
+    def broken(messages):
+        if len(messages) > 1:
+            raise ValueError
+        return "x"
+
     bad = chat.format_conversations(turns, {"broken": broken}).collect()
     assert all(r.start is None and r.rewrites is None for r in bad if r.conv_id != 3) and [r.end for r in bad if r.conv_id == 3] == [1]
     assert chat.format_conversations(turns.limit(0)).count() == 0
