@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +27,18 @@ def cut(df: DataFrame) -> DataFrame:
     """Computes the frame once and keeps it in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers where they wouldn't find it by their path or folder."""
+    package = Path(__file__).resolve().parent.parent
+    seen = {os.path.abspath(p) for p in [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()] if p}
+    sc = spark.sparkContext
+    if str(package.parent) in seen or getattr(sc, "_graphloom_shipped", False):
+        return
+    path = Path(sc._temp_dir, f"{package.name}.zip")  # the driver's own folder: Spark serves the file from there
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(path))
+    sc._graphloom_shipped = True
