@@ -36,7 +36,7 @@ _P = "(SELECT path FROM v_nodes WHERE node_seq = {})".format
 _INT = "e AS (SELECT path AS src, to_path AS dst, edge_seq, symbol, type FROM v_imports WHERE NOT is_external)"
 
 
-# ---- filter language ----------------------------------------------------------------------------------
+# ---- filter language
 
 _TAGS = "(SELECT path FROM v_tags WHERE name = '{}')".format
 _CH = "SELECT path, count(*) FILTER (WHERE ts >= c.m - INTERVAL 90 DAYS) AS n, arg_max(author, row(ts, log_seq, author)) FILTER (WHERE ts >= c.m - INTERVAL 90 DAYS) AS author, max(ts) AS last FROM v_commits, (SELECT max(ts) AS m FROM v_commits) c GROUP BY path"
@@ -122,7 +122,7 @@ def slim_projection(spark, sf_dir):
     return s.select("path", "type", "category", F.size("exports").cast("bigint").alias("n_exports"), F.concat_ws(" ", "tags").alias("tags"), F.concat_ws(" ", "imports_files").alias("imports_files"))
 
 
-# ---- one hop and reachability -------------------------------------------------------------------------
+# ---- one hop and reachability
 
 
 @_add("dependencies_d1", f"SELECT dst AS path, 1 AS depth, symbol FROM e WHERE src = {_P(0)} AND dst <> src", ("v_nodes", "v_imports"), _INT)
@@ -206,7 +206,7 @@ def unused_files(spark, sf_dir):
     return graph.unused_files(g, g.nodes.select("path").union(g.nodes.where("type = 'lua'").select(F.concat("path", F.lit(".bak")))))
 
 
-# ---- hubs, roles, API surface -------------------------------------------------------------------------
+# ---- hubs, roles, API surface
 
 _LABEL = "regexp_replace(regexp_extract(path, '[^/]*$'), '\\.[^.]*$', '')"
 _HUBS = f"h AS (SELECT e.src AS path, {_LABEL.replace('path', 'n.path')} AS label, count(*) AS out_degree, n.node_seq FROM e JOIN v_nodes n ON n.path = e.src WHERE n.category NOT IN ('test', 'barrel') GROUP BY e.src, n.node_seq, n.path HAVING count(*) >= 5)"
@@ -326,7 +326,7 @@ def affected_tests_hub_boundary(spark, sf_dir):
     return graph.affected_tests(g, _changed(g))
 
 
-# ---- enrichment ---------------------------------------------------------------------------------------
+# ---- enrichment
 
 
 @_add("churn_90d", "SELECT path, n AS commit_count_90d, author AS last_author, last AS last_commit_at FROM ch", ("v_commits",), f"ch AS ({_CH})")
@@ -364,7 +364,7 @@ def test_node_tags(spark, sf_dir):
     return enrich.test_tags(load(spark, sf_dir))
 
 
-# ---- reports ------------------------------------------------------------------------------------------
+# ---- reports
 
 
 @_add("category_histogram", "SELECT category, count(*) AS n FROM v_nodes GROUP BY category", ("v_nodes",))
@@ -457,7 +457,7 @@ def event_windows(spark, sf_dir):
     return watch.user_activity(events).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.col("value").alias("cents"))
 
 
-# ---- duplicates ---------------------------------------------------------------------------------------
+# ---- duplicates
 
 
 @_add("style_block_duplicates", "SELECT least(a.lines, b.lines) AS lines, a.signature, a.file AS file_a, b.file AS file_b FROM r a JOIN r b ON a.signature = b.signature AND a.file < b.file WHERE a.lines >= 3 AND b.lines >= 3", ("v_nodes", "v_exports"), "r AS (SELECT path AS file, string_agg(name, ';' ORDER BY exp_seq) AS signature, CAST(count(*) + 2 AS INT) AS lines FROM v_exports WHERE exp_seq < 2 AND path LIKE '%.css' GROUP BY path HAVING count(*) >= 2)")

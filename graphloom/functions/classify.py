@@ -11,7 +11,7 @@ EXTENSIONS = {
     "livescript": ".ls", "lua": ".lua", "python": ".py", "go": ".go", "gherkin": ".feature", "markdown": ".md .mdx",
 }
 TYPE_OF = {e: kind for kind, names in EXTENSIONS.items() for e in names.split()}
-STYLE_EXTENSIONS = (".css", ".scss", ".sass", ".less", ".styl")
+STYLE_EXTENSIONS = tuple(".css .less .sass .scss .styl".split())
 
 
 def extension(path: str) -> str:
@@ -32,9 +32,9 @@ def is_style(specifier: str) -> bool:
 class ClassifyConfig:
     """What counts as config or test; a value passed along, never global state."""
 
-    config_matchers: tuple[str | re.Pattern | Callable[[str], bool], ...] = (".config.", "tsconfig", "package.json", ".prettierrc", ".eslintrc")
-    test_patterns: tuple[str, ...] = (".test.", ".spec.", "-test.", "-spec.")
-    test_libraries: tuple[str, ...] = ("jest", "vitest", "playwright", "cypress", "@testing-library/")
+    config_matchers: tuple[str | re.Pattern | Callable[[str], bool], ...] = ("tsconfig", ".config.", ".eslintrc", ".prettierrc", "package.json")
+    test_patterns: tuple[str, ...] = tuple("-spec. .spec. -test. .test.".split())
+    test_libraries: tuple[str, ...] = tuple("@testing-library/ cypress jest playwright vitest".split())
     barrel_threshold: float = 0.8
 
     def adding(self, **more) -> ClassifyConfig:
@@ -55,4 +55,4 @@ DEFAULT = ClassifyConfig()
 
 def at_tags(text: str) -> list[str]:
     """Names after `@tag`, in order, each once."""
-    return list(dict.fromkeys(re.findall(r"@tag\s+([a-zA-Z0-9_-]+)", text)))
+    return list(dict.fromkeys(re.findall(r"@tag\s+([\w-]+)", text, re.A)))

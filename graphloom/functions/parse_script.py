@@ -134,7 +134,7 @@ def _doc(comments_before: str | None) -> tuple[str | None, list[str]]:
     if not comments_before or not comments_before.startswith("/**"):
         return None, []
     body = re.sub(r"^\s*\*\s?", "", comments_before[3:-2], flags=re.M).strip()
-    flags = [f for f in ("deprecated", "internal", "public", "alpha", "beta") if f"@{f}" in body]
+    flags = [f for f in "alpha beta deprecated internal public".split() if f"@{f}" in body]
     return re.split(r"\n\s*@", body)[0].strip() or None, flags
 
 

@@ -6,7 +6,7 @@ import re
 
 from graphloom.functions.classify import ClassifyConfig, at_tags
 
-REMOTE = ("http://", "https://", "//", "data:", "mailto:", "#")
+REMOTE = tuple("# // data: http:// https:// mailto:".split())
 
 
 def _result(imports=(), exports=(), tags=(), category="other", **more) -> dict:
@@ -18,7 +18,7 @@ def _edge(specifier: str, kind: str = "static", symbols=None, **more) -> dict:
 
 
 def _remote(specifier: str) -> bool:
-    return specifier.startswith(("http://", "https://", "//"))
+    return specifier.startswith(tuple("// http:// https://".split()))
 
 
 def _style_category(text: str, imports: list, rule: str = r"[^{}@;]+\{") -> str:
@@ -69,12 +69,12 @@ def parse_scss(path: str, text: str, config: ClassifyConfig) -> dict:
 
 
 def parse_stylus(path: str, text: str, config: ClassifyConfig) -> dict:
-    imports = [_edge(s, is_external=_remote(s)) for s in re.findall(r"^\s*@?(?:import|require)\s*\(?\s*['\"]([^'\"]+)['\"]", text, re.M)]
+    imports = [_edge(s, is_external=_remote(s)) for s in re.findall(r"^\s*@?(?:require|import)[\s(]*['\"]([^'\"]+)['\"]", text, re.M)]
     rest = re.sub(r"^\s*@?(?:import|require)[^\n]*", "", text, flags=re.M)
     return _result(imports, category="ui" if not imports or re.search(r"^[^\s@/$][^\n]*$", rest, re.M) else "barrel")
 
 
-_PATH = re.compile(r"(?:\.{1,2}/)?[\w.-]+(?:/[\w.-]+)*\.(?:tsx|ts|jsx|json|js|mjs|cjs|py|go|lua|css|scss|less|styl|coffee|ls|feature|mdx|md)\b")
+_PATH = re.compile(r"(?:\.{1,2}/)?[\w.-]+(?:/[\w.-]+)*\.(?:coffee|cjs|css|feature|go|json|jsx|js|less|ls|lua|mdx|md|mjs|py|scss|styl|tsx|ts)\b")
 
 
 def parse_markdown(path: str, text: str, config: ClassifyConfig) -> dict:

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import re
 
-GENERIC = frozenset("common fixture fixtures helper helpers index main mock mocks setup shared spec test tests types util utils".split())
+GENERIC = frozenset("fixture fixtures mock mocks spec test tests setup helper helpers util utils types shared common index main".split())
 _BEGIN, _END = "# graphloom:tags", "# graphloom:end"
 
 
 def writable(tags: list[str]) -> list[str]:
     """Valid names that say something, sorted, each once."""
-    return sorted({t for t in tags if re.fullmatch(r"[a-zA-Z][a-zA-Z0-9_-]+", t) and t.lower() not in GENERIC})
+    return sorted({t for t in tags if re.fullmatch(r"[a-zA-Z][\w-]+", t, re.A) and t.lower() not in GENERIC})
 
 
 def gherkin(source: str, tags: list[str]) -> str:

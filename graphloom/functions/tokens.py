@@ -17,12 +17,12 @@ COMMENTS = {
 }
 STYLES = ("css", "scss", "less", "stylus")
 STRUCTURAL = ("css", "scss", "less")
-LOCK_FILES = frozenset(("package-lock.json", "yarn.lock", "pnpm-lock.yaml"))
+LOCK_FILES = frozenset("package-lock.json pnpm-lock.yaml yarn.lock".split())
 _OPERATORS = r"===|!==|\.\.\.|=>|==|!=|<=|>=|&&|\|\||::|->|\.\.|\+=|-=|\*=|/="
 _TOKEN = re.compile(_OPERATORS + r"|(?P<id>[A-Za-z_$][\w$]*)|(?P<num>\d+(?:\.\d+)?)|(?P<str>\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|`(?:\\.|[^`\\])*`)|\S", re.S | re.A)
 KEYWORDS = frozenset(
-    "if else elif for while do switch case default break continue return function def class struct interface const let var local import export from package try catch except finally throw raise "
-    "new this self end then yield async await nil null None true false True False and or not in of is".split()
+    "False None True and async await break case catch class const continue def default do elif else end except export false finally for from function if "
+    "import in interface is let local new nil not null of or package raise return self struct switch then this throw true try var while yield".split()
 )
 
 

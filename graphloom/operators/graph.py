@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.plans.model import CodeGraph
 from graphloom.plans.traverse import all_pairs, reach, reference_cycles, strongly_connected
 
-CALL_TYPES = ("typescript", "javascript", "go", "python")
+CALL_TYPES = tuple("go javascript python typescript".split())
 
 
 def is_test(graph: CodeGraph) -> DataFrame:

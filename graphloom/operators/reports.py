@@ -10,9 +10,9 @@ from graphloom.operators.graph import CALL_TYPES
 from graphloom.plans.model import CodeGraph
 from graphloom.plans.traverse import reach
 
-COMPLEXITY_TYPES = ("typescript", "javascript", "python", "go")
-TAG_TYPES = ("typescript", "javascript", "python", "go", "coffeescript", "livescript", "lua", "gherkin")
-TEST_NAMES = (".test.", ".spec.", "-test.", "-spec.")
+COMPLEXITY_TYPES = tuple("go javascript python typescript".split())
+TAG_TYPES = tuple("coffeescript gherkin go javascript livescript lua python typescript".split())
+TEST_NAMES = tuple("-spec. .spec. -test. .test.".split())
 
 
 def category_histogram(graph: CodeGraph) -> DataFrame:

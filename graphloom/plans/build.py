@@ -16,11 +16,11 @@ from graphloom.plans.session import cut
 from graphloom.plans.traverse import reach
 
 PROBES = {
-    "script": ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", "/index.ts", "/index.tsx", "/index.js", "/index.jsx"),
+    "script": ("", *".ts .tsx .js .jsx .mjs .cjs /index.ts /index.tsx /index.js /index.jsx".split()),
     "python": ("", ".py", "/__init__.py"),
     "lua": ("", ".lua", "/init.lua"),
     "style": ("", *STYLE_EXTENSIONS),
-    "other": ("", ".coffee", ".ls", ".js", "/index.coffee", "/index.ls", "/index.js"),
+    "other": ("", *".coffee .ls .js /index.coffee /index.ls /index.js".split()),
     "markdown": ("", ".md"),
 }
 

@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# ---- git ----------------------------------------------------------------------------------------------
+# ---- git
 
 
 def _git(root: str, *args: str) -> str:
@@ -23,7 +23,7 @@ def _git(root: str, *args: str) -> str:
 
 def changed_files(spark: SparkSession, root: str, base: str | None = None) -> DataFrame:
     """(path): unstaged, staged, untracked and, with a base, committed changes; a failing command adds nothing."""
-    out = [_git(root, "diff", "--name-only"), _git(root, "diff", "--cached", "--name-only"), _git(root, "ls-files", "--others", "--exclude-standard")]
+    out = [*(_git(root, *command.split()) for command in ("diff --name-only", "diff --name-only --cached", "ls-files --exclude-standard --others"))]
     if base:
         out.append(_git(root, "diff", "--name-only", f"{base}...HEAD"))
     names = sorted({line for text in out for line in text.splitlines() if line})
@@ -31,7 +31,7 @@ def changed_files(spark: SparkSession, root: str, base: str | None = None) -> Da
 
 
 def git_log(root: str) -> str:
-    return _git(root, "log", "--name-status", "-M", "--format=%x00%H%x09%ae%x09%ct")
+    return _git(root, *"log -M --name-status --format=%x00%H%x09%ae%x09%ct".split())
 
 
 def commits_of(log: DataFrame) -> DataFrame:
@@ -50,7 +50,7 @@ def log_entries(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame([(len(entries) - i, e) for i, e in enumerate(entries)], "log_seq LONG, entry STRING")
 
 
-# ---- coverage -----------------------------------------------------------------------------------------
+# ---- coverage
 
 
 def coverage(spark: SparkSession, report: str, root: str) -> DataFrame:
@@ -64,7 +64,7 @@ def coverage(spark: SparkSession, report: str, root: str) -> DataFrame:
     return spark.createDataFrame(rows, "path STRING, pct DOUBLE")
 
 
-# ---- lock files ---------------------------------------------------------------------------------------
+# ---- lock files
 
 
 def parse_package_lock(text: str) -> dict[str, str]:
@@ -122,7 +122,7 @@ def lock_versions(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame([], "name STRING, version STRING")
 
 
-# ---- workspaces ---------------------------------------------------------------------------------------
+# ---- workspaces
 
 
 def _manifest(path: Path) -> dict:
@@ -150,7 +150,7 @@ def entry_points(folder: str) -> list[str]:
     root = manifest.get("exports")
     root = root.get(".", root) if isinstance(root, dict) else root
     names = [root[k] for k in ("import", "require", "default") if isinstance(root.get(k), str)] if isinstance(root, dict) else [root] if isinstance(root, str) else []
-    names += [manifest[k] for k in ("main", "module") if isinstance(manifest.get(k), str)] + ["src/index.ts", "src/index.tsx", "src/index.js", "index.ts", "index.js", "src/main.ts"]
+    names += [manifest[k] for k in ("main", "module") if isinstance(manifest.get(k), str)] + "src/index.ts src/index.tsx src/index.js index.ts index.js src/main.ts".split()
     for n in names:
         n = n.removeprefix("./")
         for candidate in (n, *(re.sub(r"^dist/", "src/", re.sub(r"\.(?:c|m)?js$", e, n)) for e in (".ts", ".tsx", ".js"))):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.classify import TYPE_OF
 
-IGNORE_DIRS = ("node_modules", ".git", "dist", "build", ".next", ".cache", "graphloom-cache", "coverage")
+IGNORE_DIRS = ("build", "coverage", "dist", "graphloom-cache", "node_modules", ".cache", ".git", ".next")
 
 
 @dataclass(frozen=True)

@@ -18,7 +18,7 @@ FILES = {
     "src/style.css": '@import "base.css";\n.a { color: red }\n',
     "src/base.css": ".b { margin: 0 }\n",
     "lib/deep.ts": "export const x = 1;\n",
-    "src/main.test.ts": 'import { go } from "./main";\ntest("a", () => {});\n',
+    "src/main.test.ts": 'import { go } from "./main";\ntest("main runs", () => go());\n',
     "docs/readme.md": "See [main](../src/main.ts) and `src/alone.ts`.\n",
     "src/alone.ts": "export const y = 2;\n",
     "py/app.py": "from .models import User\nimport py.models\nimport os\n",
@@ -87,7 +87,7 @@ def test_git_coverage_and_locks(spark, tmp_path):
     report = tmp_path / "c.json"
     report.write_text(json.dumps({"total": {"lines": {"pct": 1}}, "/p/src/a.ts": {"lines": {"pct": 81.5}}, "/p/b.ts": {"lines": {"pct": "Unknown"}}}))
     assert [tuple(r) for r in facts.coverage(spark, str(report), "/p").collect()] == [("src/a.ts", 81.5)] and facts.coverage(spark, "/none", "/p").count() == 0
-    assert facts.parse_package_lock('{"packages": {"": {}, "node_modules/lodash": {"version": "4.17.21"}, "node_modules/@types/node": {"version": "18.0.0"}, "node_modules/a/node_modules/b": {"version": "1.0.0"}}}') == {"lodash": "4.17.21", "@types/node": "18.0.0"}
+    assert facts.parse_package_lock('{"packages": {"": {}, "node_modules/@s/t": {"version": "2.5.0"}, "node_modules/left": {"version": "7.0.1"}, "node_modules/a/node_modules/b": {"version": "1.0.0"}}}') == {"@s/t": "2.5.0", "left": "7.0.1"}
     assert facts.parse_package_lock('{"dependencies": {"a": {"version": "1.0.0"}}}') == {"a": "1.0.0"}
     assert facts.parse_yarn_lock('# v1\n\n"@b/c@^1.0.0":\n  version "1.2.3"\n\na@^1, a@^2:\n  version "2.0.0"\n') == {"@b/c": "1.2.3", "a": "2.0.0"}
     assert facts.parse_yarn_lock('__metadata:\n  version: 6\n\n"a@npm:^1":\n  version: 1.5.0\n') == {"a": "1.5.0"}

@@ -23,12 +23,12 @@ def edge(a, b, symbols=None, k=0, **more):
 def triangle(spark):
     return CodeGraph.from_rows(
         spark,
-        nodes=[node(0, "src/a.ts"), node(1, "src/b.ts"), node(2, "src/a.test.ts", "test")],
-        imports=[edge("src/b.ts", "src/a.ts", ["foo"]), edge("src/a.test.ts", "src/a.ts")],
-        exports=[{"path": "src/a.ts", "exp_seq": 0, "name": "foo"}],
-        tags=[{"path": "src/a.ts", "tag_seq": 0, "name": "auth", "kind": "comment-marker"}, {"path": "src/a.test.ts", "tag_seq": 0, "name": "a", "kind": "comment-marker"}],
-        functions=[{"path": "src/a.ts", "fn_seq": 0, "name": "foo", "line": 1, "complexity": 12, "cognitive": 15}, {"path": "src/a.ts", "fn_seq": 1, "name": "bar", "line": 10, "complexity": 2, "cognitive": 1}],
-        calls=[{"path": "src/b.ts", "call_seq": 0, "from_fn": "run", "to_fn": "foo", "to_file": "src/a.ts"}],
+        nodes=[node(0, "lib/one.ts"), node(1, "lib/two.ts"), node(2, "lib/one.test.ts", "test")],
+        imports=[edge("lib/two.ts", "lib/one.ts", ["foo"]), edge("lib/one.test.ts", "lib/one.ts")],
+        exports=[{"path": "lib/one.ts", "exp_seq": 0, "name": "foo"}],
+        tags=[{"path": "lib/one.ts", "tag_seq": 0, "name": "auth", "kind": "comment-marker"}, {"path": "lib/one.test.ts", "tag_seq": 0, "name": "a", "kind": "comment-marker"}],
+        functions=[{"path": "lib/one.ts", "fn_seq": 0, "name": "foo", "line": 1, "complexity": 12, "cognitive": 15}, {"path": "lib/one.ts", "fn_seq": 1, "name": "bar", "line": 10, "complexity": 2, "cognitive": 1}],
+        calls=[{"path": "lib/two.ts", "call_seq": 0, "from_fn": "run", "to_fn": "foo", "to_file": "lib/one.ts"}],
     )
 
 
@@ -38,21 +38,21 @@ def paths(df, column="path"):
 
 def test_one_hop(triangle):
     g = triangle
-    assert [tuple(r) for r in graph.dependencies(g, "src/b.ts").collect()] == [("src/a.ts", 1, ["foo"])]
-    assert paths(graph.dependencies(g, "src/b.ts", 10)) == ["src/a.ts"]
-    assert paths(graph.dependents(g, "src/a.ts")) == ["src/a.test.ts", "src/b.ts"] and paths(graph.dependents(g, "react")) == []
-    assert paths(graph.affected(g, "src/a.ts", tests_only=True)) == ["src/a.test.ts"]
-    assert paths(graph.affected(g, "src/a.ts", changed_symbols=["other"])) == ["src/a.test.ts"], "a whole-module import is always affected"
-    assert paths(graph.affected(g, "src/a.ts", changed_symbols=["foo"])) == ["src/a.test.ts", "src/b.ts"]
-    assert [(r.path, [tuple(e) for e in r.edges]) for r in graph.callers(g, "src/a.ts").collect()] == [("src/b.ts", [("run", "foo")])]
+    assert [tuple(r) for r in graph.dependencies(g, "lib/two.ts").collect()] == [("lib/one.ts", 1, ["foo"])]
+    assert paths(graph.dependencies(g, "lib/two.ts", 10)) == ["lib/one.ts"]
+    assert paths(graph.dependents(g, "lib/one.ts")) == "lib/one.test.ts lib/two.ts".split() and paths(graph.dependents(g, "react")) == []
+    assert paths(graph.affected(g, "lib/one.ts", tests_only=True)) == ["lib/one.test.ts"]
+    assert paths(graph.affected(g, "lib/one.ts", changed_symbols=["other"])) == ["lib/one.test.ts"], "a whole-module import is always affected"
+    assert paths(graph.affected(g, "lib/one.ts", changed_symbols=["foo"])) == "lib/one.test.ts lib/two.ts".split()
+    assert [(r.path, [tuple(e) for e in r.edges]) for r in graph.callers(g, "lib/one.ts").collect()] == [("lib/two.ts", [("run", "foo")])]
     assert [r.name for r in reports.complex_functions(g).collect()] == ["foo"]
-    assert {(r.user, r.via) for r in graph.find_symbol(g, "foo").collect()} == {("src/b.ts", "run")}
-    assert 'graph TD\n  "src/a.test.ts" --> "src/a.ts"' in reports.mermaid(g)
-    assert {(r.path, r.name, r.kind) for r in enrich.test_tags(g).collect()} == {("src/a.test.ts", "a", "import"), ("src/a.test.ts", "auth", "comment-marker")}
+    assert {(r.user, r.via) for r in graph.find_symbol(g, "foo").collect()} == {("lib/two.ts", "run")}
+    assert 'graph TD\n  "lib/one.test.ts" --> "lib/one.ts"' in reports.mermaid(g)
+    assert {(r.path, r.name, r.kind) for r in enrich.test_tags(g).collect()} == {("lib/one.test.ts", "one", "import"), ("lib/one.test.ts", "auth", "comment-marker")}
     e = enrich.enrich(g)
-    assert {r.path: r.tested_by for r in e.nodes.collect()}["src/a.ts"] == ["src/a.test.ts"]
-    tagged = apply_tags.preview(e, g.spark.createDataFrame([("src/a.test.ts", "import { it } from 'vitest'\nit('x', () => {})\n")], "path STRING, content STRING"))
-    assert [(r.strategy, r.status, r.tags) for r in tagged.collect()] == [("vitest", "unchanged", ["a"])], "a one-letter tag isn't written"
+    assert {r.path: r.tested_by for r in e.nodes.collect()}["lib/one.ts"] == ["lib/one.test.ts"]
+    tagged = apply_tags.preview(e, g.spark.createDataFrame([("lib/one.test.ts", "import { it } from 'vitest'\nit('x', () => {})\n")], "path STRING, content STRING"))
+    assert [(r.strategy, r.status, r.tags) for r in tagged.collect()] == [("vitest", "updated", ["one"])]
 
 
 def test_trim_keeps_edges_without_a_target(spark):
@@ -162,9 +162,9 @@ def test_token_duplicates(spark):
 
 
 def test_glob():
-    cases = {"src/**/*.ts": ["src/a.ts", "src/x/y/a.ts"], "*.ts": ["a.ts"], "a?.js": ["ab.js"]}
+    cases = {"lib/**/*.ts": ["lib/one.ts", "lib/x/y/a.ts"], "*.ts": ["a.ts"], "a?.js": ["ab.js"]}
     for glob, yes in cases.items():
-        assert all(re.search(reports.glob_pattern(glob), p) for p in yes) and not re.search(reports.glob_pattern(glob), "lib/x.py")
+        assert all(re.search(reports.glob_pattern(glob), p) for p in yes) and not re.search(reports.glob_pattern(glob), "etc/x.py")
 
 
 def test_virtual_graph_counts(spark):
