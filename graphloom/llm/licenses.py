@@ -33,7 +33,7 @@ TEMPLATES = {
     "gpl": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", "Released under the GNU GPL version 3.", "Licensed under the GNU General Public License, version 2."],
     "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "Released under the ISC License."],
     "lgpl": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", "Licensed under the GNU Lesser General Public License, version 3."],
-    "mit": ["Released under the MIT License.", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction', "Licensed under the MIT license.", 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY'],
+    "mit": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person", "to deal in the Software without restriction, including the rights to use, copy, modify", "Licensed under the MIT license.", 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY'],
     "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0."],
     "unlicense": ["This is free and unencumbered software released into the public domain.", "Released under the Unlicense."],
 }
