@@ -25,9 +25,13 @@ ALPHA = 0.02
 SYMBOLS = 64
 #: Chance of each byte under no language.
 UNKNOWN = 1 / 64
-#: Texts that each language's model is fitted on at most, texts it needs at least, and languages at most.
-MAX_TRAIN, MIN_TRAIN, MAX_LANGUAGES = 1500, 20, 64
+#: Texts that each language's model is fitted on at most; one text with a word is enough for a model.
+MAX_TRAIN = 1500
+#: Languages up to which a whole slice of text is handled at once; with more of them slices are smaller.
+SLICE_LANGUAGES = 16
 EM_ROUNDS = 12
+#: What makes a word, as a pattern: an ASCII letter or digit, or anything beyond ASCII.
+WORD = r"[0-9A-Za-z]|[^\x00-\x7F]"
 #: BIC weighs a language as this many parameters.
 PENALTY = 6.0
 
@@ -71,7 +75,18 @@ class Model:
 
     def mixtures(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Proportions (rows x languages + 1), log likelihood a byte, and number of words."""
-        words = tx.Words(tx.lower(tx.clean(column)))
+        column = tx.lower(tx.clean(column))
+        if len(self.names) > SLICE_LANGUAGES:
+            # tables of words x languages: fewer words at a time, so that memory doesn't grow with the languages
+            parts = [self._mixtures(column.slice(a, b - a)) for a, b in tx.slices(column, tx.SLICE_BYTES * SLICE_LANGUAGES // len(self.names))]
+            if len(parts) > 1:
+                return tuple(np.concatenate(x) for x in zip(*parts))
+            if parts:
+                return parts[0]
+        return self._mixtures(column)
+
+    def _mixtures(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        words = tx.Words(column)
         _, sample, which = words.unique()
         like = self.word_likelihoods(words, sample)
         n = np.diff(words.first)
@@ -152,14 +167,17 @@ def counts_table(docs: DataFrame, lang_col: str = "lang") -> DataFrame:
 
 
 def train(docs: DataFrame, lang_col: str = "lang", max_train: int = MAX_TRAIN, seed: int = 11) -> Model:
-    """A model for each label with at least MIN_TRAIN texts, from a seeded sample of about `max_train` texts each."""
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    sizes = labelled.groupBy(lang_col).count().where(F.col("count") >= MIN_TRAIN).orderBy(F.desc("count"), lang_col).limit(MAX_LANGUAGES).collect()
+    """A model for each label that has a text with a word, from all its texts or a seeded sample of about `max_train`."""
+    labelled = docs.where(F.col(lang_col).isNotNull() & F.col("text").rlike(WORD))
+    sizes = labelled.groupBy(lang_col).count().collect()
     if not sizes:
         return Model([], np.zeros((0, 1 << TRI_BITS), np.float32), np.zeros((0, 1 << BI_BITS), np.float32))
-    taken = F.lit(False)
-    for r in sizes:
-        taken = taken | ((F.col(lang_col) == r[0]) & hashed_fraction(F.col("doc_id").cast("long"), max_train / r[1], seed))
+    large = [r for r in sizes if r[1] > max_train]
+    # rows without an id are sampled by their text
+    by = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+    taken = ~F.col(lang_col).isin([r[0] for r in large]) if large else F.lit(True)
+    for r in large:
+        taken = taken | ((F.col(lang_col) == r[0]) & hashed_fraction(by, max_train / r[1], seed))
     names = sorted(r[0] for r in sizes)
     tri, bi = np.zeros((len(names), 1 << TRI_BITS)), np.zeros((len(names), 1 << BI_BITS))
     # at most (2**17 + 2**13) rows a language, however large the corpus

@@ -60,3 +60,25 @@ def test_identifies_mixes_and_rejects(spark):
     assert langid.identify(docs.limit(0), model).count() == 0
     empty = langid.train(docs.limit(0))
     assert empty.names == [] and langid.drop_unknown(docs, empty).count() == 0
+
+
+def test_rare_labels_are_modelled_and_kept(spark):
+    es = ["el rápido zorro marrón salta sobre el perro perezoso y corre por el bosque", "ella dijo que volverían a casa antes de que la lluvia empezara otra vez", "no hay nada mejor que una tarde cálida con buenos amigos y música"]
+    docs = labelled(spark, [(900 + i, t, "es") for i, t in enumerate(es)] + [(None, "ọjọ́ dára púpọ̀ ní ilé wa", "yo"), (910, "?! --", "xx"), (911, None, "zz")])
+    model = langid.train(docs)
+    assert model.names == ["de", "en", "es", "fr", "yo"]
+    got = {r.doc_id: (r.top, r.accepted) for r in langid.identify(docs, model).collect()}
+    assert [got[i] for i in (900, 901, 902, None)] == [("es", True)] * 3 + [("yo", True)]
+    assert langid.drop_unknown(docs, model).count() == docs.count() - 2
+
+
+def test_more_than_64_languages(spark):
+    # each language has letters of its own and one text only
+    rows = [(i, " ".join(chr(0x4E00 + 40 * i + (7 * j + k) % 40) * 2 + chr(0x4E00 + 40 * i + k) for j in range(3) for k in range(20)), f"l{i:02}") for i in range(70)]
+    docs = spark.createDataFrame([r for r in rows for _ in range(2)], "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert model.names == [r[2] for r in rows]
+    assert {r.doc_id: (r.top, r.accepted) for r in langid.identify(docs, model).collect()} == {i: (lang, True) for i, _, lang in rows}
+    column = pa.array([r[1] for r in rows] * 300)
+    whole, cut = model._mixtures(column.slice(0, 70)), model.mixtures(column)
+    assert all(np.allclose(x, y[-70:], atol=1e-5) for x, y in zip(whole, cut))
