@@ -72,3 +72,25 @@ def test_tables(spark):
     everything, _ = parts([r[1] for r in rows])
     for key in ("a", "b", None):
         assert merged[key] == sketch.merge([e for e, r in zip(everything, rows) if r[2] == key]).tolist()
+
+
+def test_items_are_told_apart_and_found_in_long_documents(spark):
+    rng = random.Random(4)
+    words = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    items = [" ".join(words(30)) for _ in range(6)] + [" ".join(words(9000)), "two words", "", None]
+    long = words(4000)
+    docs = [" ".join([*long[:2500], *items[0].split(), *long[2500:]]), items[1], " ".join(items[2].split()[:20]), " ".join(items[6].split()[4000:4100]), "two words", " ".join(words(50)), "", None, items[3] + " " + items[3] + " " + items[4]]
+    bench = spark.createDataFrame([*enumerate(items), (5, items[0])], "item_id long, text string")
+    table = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    of_item = {i: shingles(t) | (shingles(items[0]) if i == 5 else set()) for i, t in enumerate(items)}
+    everything = set().union(*of_item.values())
+    got = {r.doc_id: r for r in sketch.fingerprints(table, bench).collect()}
+    assert len(got) == len(docs)
+    for d, t in enumerate(docs):
+        own = shingles(t)
+        want = [(i, len(own & x), round(len(own & x) / len(own | x), 6), round(len(own & x) / len(own), 6), round(len(own & x) / len(x), 6)) for i, x in of_item.items() if own & x]
+        assert [tuple(m) for m in got[d].matches] == want
+        assert got[d].containment == round(len(own & everything) / max(len(own), 1), 6)
+        assert got[d].resemblance == round(len(own & everything) / len(own | everything), 6)
+    assert got[0].matches[0].item_containment == 1.0 and got[3].containment == 1.0
+    assert all(r.matches == [] for r in sketch.fingerprints(table, bench.limit(0)).collect())
