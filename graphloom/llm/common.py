@@ -50,10 +50,15 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def integer(column: F.Column) -> F.Column:
+    """The column as a 64-bit integer, null where it isn't one: what the operators take for an id."""
+    return column.try_cast("long")
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
-    """Only the needed columns, under the names doc_id and text whatever else the table holds."""
+    """Only the needed columns, under the names doc_id and text whatever else the table holds; an id that is no integer is null."""
     extra = [docs[c] for c in more]
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), *extra)
+    return docs.select(integer(docs[id_col]).alias("doc_id"), docs[text_col].cast("string").alias("text"), *extra)
 
 
 def per_slice(df: DataFrame, make: Callable[[pa.RecordBatch], dict], schema: str, text_col: str = "text", rows: int = 4096) -> DataFrame:

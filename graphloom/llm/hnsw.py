@@ -2,8 +2,8 @@
 
 Vectors are dealt to shards by a hash of their id.  Each shard builds a hierarchical graph whose layers
 are flat int32 neighbour arrays (rows of fixed width, padded with -1), inserting in batches that double
-up to a bound, each batch searched in the graph so far and against itself.  Every vector is a query:
-blocks of queries visit every shard, walking the graph in lockstep with numpy, and the best k of all
+up to a bound, each batch searched in the graph so far and against itself.  Queries are sent to every shard
+and stream past its graph in the task that built it, walking in lockstep with numpy; the best k of all
 shards are kept.  The distance is the cosine.
 """
 
@@ -11,11 +11,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import text as tx
-from graphloom.llm.common import cut
+from graphloom.llm.common import integer
 
 K, M, EF_BUILD, EF_SEARCH = 10, 16, 64, 96
 #: Vectors a shard holds, and queries that walk together.
@@ -195,65 +195,74 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, int]:
-    """(id, v) of the vectors that can be compared, and their dimension, the most frequent one.
+def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, int, int]:
+    """(id, v) of the vectors that can be compared, their dimension, the most frequent one, and how many have it.
 
     Left out: rows without an id or a vector, other dimensions, vectors with a null or non-finite
-    component and zero vectors.  Of rows that repeat an id the least vector counts.
+    component and zero vectors.  Rows that repeat an id are still all there.
     """
-    v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v")).where("id is not null and size(v) > 0")
+    v = vectors.select(integer(F.col(id_col)).alias("id"), F.col(vector_col).cast("array<float>").alias("v")).where("id is not null and size(v) > 0")
     dim = v.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if dim is None:
-        return v, 0
+        return v, 0, 0
     total = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    good = v.where((F.size("v") == dim[0]) & total.isNotNull() & ~F.isnan(total) & (total > 1e-30) & (total < 1e30))
-    return good.groupBy("id").agg(F.min("v").alias("v")), dim[0]
+    return v.where((F.size("v") == dim[0]) & total.isNotNull() & ~F.isnan(total) & (total > 1e-30) & (total < 1e30)), dim[0], dim[1]
 
 
-def nearest_neighbours(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, ef: int = EF_SEARCH) -> DataFrame:
-    """(id, rank, neighbour, similarity): up to k nearest others of every usable vector, ranks from 1, ties by id.
+def _shards(batches, dim: int, k: int, ef: int):
+    """Candidates of rows (shard, asked, id, v) that come shard by shard, the stored vectors before the queries.
 
-    See `usable` for what is left out.  A single vector has no neighbours; an empty table gives an empty one.
+    A shard's vectors are gathered (a bounded number), its graph is built at the first query and the
+    queries then stream past it, so neither graph nor queries are ever held or sent anywhere as a whole.
+    """
+    shard, stored, graph, names = None, [], None, None
+
+    for batch in batches:
+        at = np.asarray(batch.column(0))
+        asked = np.asarray(batch.column(1))
+        cuts = [0, *(np.flatnonzero((np.diff(at) != 0) | (np.diff(asked) != 0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
+            if at[a] != shard:
+                shard, stored, graph = at[a], [], None
+            part = batch.slice(a, b - a)
+            if not asked[a]:
+                stored.append((np.asarray(part.column(2)), _matrix(part.column(3), dim)))
+                continue
+            if graph is None:
+                if not stored:
+                    continue
+                names, v = (np.concatenate(x) for x in zip(*stored))
+                # of rows that repeat an id the first in order, the least vector, counts
+                first = np.flatnonzero(np.append(True, names[1:] != names[:-1]))
+                names, stored = names[first], [()]
+                graph = build(v[first])
+            for c in range(0, b - a, BLOCK):
+                who, q = np.asarray(part.column(2).slice(c, BLOCK)), _matrix(part.column(3).slice(c, BLOCK), dim)
+                near, d = graph.search(q, k + 1, max(ef, k + 1))
+                row, col = np.nonzero((near >= 0) & (names[np.maximum(near, 0)] != who[:, None]))
+                yield pa.RecordBatch.from_arrays([pa.array(who[row]), pa.array(names[near[row, col]]), pa.array(np.round(1 - d[row, col].astype(np.float64), 6))], ["id", "neighbour", "similarity"])
+
+
+def nearest_neighbours(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, ef: int = EF_SEARCH, queries: Column | None = None) -> DataFrame:
+    """(id, rank, neighbour, similarity): up to k nearest others of every usable vector, or of those that fulfil `queries`.
+
+    `queries` is a condition on id; every vector is indexed whatever it says.  Similarities are cosines rounded
+    to six places; ranks begin with 1 and go by the rounded similarity, ties by the neighbour's id.  Of rows
+    that repeat an id the least vector counts.  See `usable` for what is left out.  A single vector has no
+    neighbours; an empty table gives an empty one; other columns are ignored.
     """
     spark = vectors.sparkSession
-    good, dim = usable(vectors, id_col, vector_col)
+    good, dim, n = usable(vectors, id_col, vector_col)
     if not dim:
         return spark.createDataFrame([], "id long, rank int, neighbour long, similarity double")
-    good = cut(good)
-    n = good.count()
     shards = max(1, -(-n // shard_rows))
-
-    def build_shard(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("id").combine_chunks()
-        packed = build(_matrix(rows.column("v").chunk(0), dim)).pack()
-        return pa.table({"ids": pa.array([rows.column("id").to_numpy().astype(np.int64).tobytes()], pa.binary()), **{c: pa.array([x], pa.binary()) for c, x in packed.items()}})
-
-    dealt = good.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
-    graphs = cut(dealt.groupBy("shard").applyInArrow(lambda rows: build_shard(rows.select(["id", "v"])), "ids binary, vectors binary, nodes binary, links binary, shape binary"))
-
-    def block(batches):
-        for batch in batches:
-            for a in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(a, BLOCK)
-                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy().tobytes()], pa.binary()), pa.array([_matrix(part.column(1), dim).tobytes()], pa.binary())], ["q_ids", "q"])
-
-    # equally full blocks, spread for the walk
-    queries = cut(good.repartition(max(1, -(-n // BLOCK)), "id").mapInArrow(block, "q_ids binary, q binary"))
-
-    def walk(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                q_ids, q, ids, *graph = (batch.column(c)[i].as_py() for c in range(7))
-                g, names = Graph.unpack(*graph), np.frombuffer(ids, np.int64)
-                who, q = np.frombuffer(q_ids, np.int64), np.frombuffer(q, np.float32).reshape(-1, dim)
-                near, d = g.search(q, k + 1, max(ef, k + 1))
-                other = (near >= 0) & (names[np.maximum(near, 0)] != who[:, None])
-                row, at = np.nonzero(other)
-                yield pa.RecordBatch.from_arrays([pa.array(who[row]), pa.array(names[near[row, at]]), pa.array(np.round(1 - d[row, at].astype(np.float64), 6))], ["id", "neighbour", "similarity"])
-
-    # block x shard rows are a few MB each; Arrow takes one of them at a time
-    met = queries.crossJoin(graphs).select("q_ids", "q", "ids", "vectors", "nodes", "links", "shape")
-    found = met.mapInArrow(walk, "id long, neighbour long, similarity double")
+    stored = good.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("asked"), "id", "v")
+    asked = (good if queries is None else good.where(queries)).groupBy("id").agg(F.min("v").alias("v"))
+    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("asked"), "id", "v")
+    rows = stored.unionByName(asked).repartitionById(shards, "shard").sortWithinPartitions("shard", "asked", "id", "v")
+    found = rows.mapInArrow(lambda batches: _shards(batches, dim, k, ef), "id long, neighbour long, similarity double")
     best = Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("id", "rank", "neighbour", "similarity")
 

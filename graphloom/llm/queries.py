@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from graphloom.llm import chat, hnsw, langid, licenses, mixing, pieces, simhash, sketch, sstable, toxicity
 from graphloom.llm.common import table
 
@@ -15,7 +17,8 @@ def op2_sentencepiece(spark, sf_dir):
 
 
 def op3_nearest_neighbours(spark, sf_dir):
-    return hnsw.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+    # every row whose id is divisible by 100 is a query, against all rows
+    return hnsw.nearest_neighbours(table(spark, sf_dir, "embeddings"), queries=F.col("id") % 100 == 0)
 
 
 def op4_toxicity(spark, sf_dir):

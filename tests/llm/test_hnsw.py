@@ -1,6 +1,7 @@
 import numpy as np
+from pyspark.sql import functions as F
 
-from graphloom.llm import hnsw
+from graphloom.llm import hnsw, queries
 
 
 def clustered(n, seed=0, dim=32):
@@ -36,5 +37,25 @@ def test_merged_shards_and_edge_cases(spark):
     name = lambda i: 5006 if i == 1200 else i
     assert np.mean([len({n for n, _ in got[i]} & {name(j) for j in want[i].tolist()}) for i in range(1200)]) / 5 > 0.9
     assert got[3][0][0] == 5006 and got[5006][0][0] == 3 and all(i not in {n for n, _ in x} for i, x in got.items())
+    some = {}
+    for r in hnsw.nearest_neighbours(df, 5, shard_rows=400, queries=F.col("id") % 100 == 0).orderBy("id", "rank").collect():
+        some.setdefault(r.id, []).append((r.neighbour, r.similarity))
+    assert some == {i: x for i, x in got.items() if i % 100 == 0}, "a query's answer doesn't depend on the others"
     assert hnsw.nearest_neighbours(df.limit(0)).count() == 0
     assert hnsw.nearest_neighbours(df.where("vec_id = 4")).count() == 0
+
+
+def test_registered_query_recall_and_plan(spark):
+    """The stated query set over all rows of the 0.01 table, against brute force."""
+    folder = "/root/testdata/sf0.01"
+    made = queries.op3_nearest_neighbours(spark, folder)
+    assert "CartesianProduct" not in (plan := made._jdf.queryExecution().toString()) and "BroadcastNestedLoop" not in plan
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").orderBy("vec_id").collect()
+    ids, v = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float32)
+    want = hnsw.exact_neighbours(v, 10)
+    got = {}
+    for r in made.orderBy("id", "rank").collect():
+        got.setdefault(r.id, []).append(r.neighbour)
+    asked = [i for i, x in enumerate(ids) if x % 100 == 0]
+    assert set(got) == {int(ids[i]) for i in asked} and all(len(x) == 10 for x in got.values())
+    assert np.mean([len(set(got[int(ids[i])]) & set(ids[want[i]].tolist())) for i in asked]) / 10 >= 0.93
