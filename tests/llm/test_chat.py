@@ -8,7 +8,7 @@ def talk(*pairs):
 
 
 def brute(messages, render):
-    """Longest common prefix letter by letter."""
+    """Longest common prefix letter by letter; the closing text ends every output."""
     outs = [render(messages[:k]) for k in range(len(messages) + 1)]
     found = []
     for a, b in zip(outs, outs[1:]):
@@ -16,7 +16,7 @@ def brute(messages, render):
         while same < min(len(a), len(b)) and a[same] == b[same]:
             same += 1
         tail = a[same:]
-        moved = bool(tail) and b[same:].endswith(tail)
+        moved = bool(tail) and b[same:].endswith(tail) and all(x.endswith(tail) for x in outs)
         found.append((same, len(b) - len(tail) * moved, bool(tail) and not moved))
     return outs[-1], found
 
@@ -32,6 +32,25 @@ def test_spans():
     assert [r for *_, r in found] == [False, False, False, True]
 
 
+def test_repeated_answers_are_rewriting():
+    m = talk(("assistant", "same"), ("assistant", "the same"), ("assistant", "the same"))
+    assert [r for *_, r in chat.spans(m, chat.last_answer_only)[1]] == [False, True, True]
+
+
+def test_a_raise_in_the_middle_costs_two_turns():
+    m = talk(*[("user", x) for x in "abcd"])
+
+    def broken(messages):
+        if len(messages) in (0, 2):
+            raise ValueError
+        return chat.chatml(messages)
+
+    text, found = chat.spans(m, broken)
+    whole = chat.spans(m, chat.chatml)
+    assert text == whole[0] and found == [whole[1][0], (None,) * 3, (None,) * 3, whole[1][3]]
+    assert chat.spans(m[:2], broken) == (None, found[:2])
+
+
 def test_brute_force_on_random_conversations():
     rng = random.Random(4)
     for _ in range(150):
@@ -57,5 +76,8 @@ def test_conversations(spark):
         return "x"
 
     bad = chat.format_conversations(turns, {"broken": broken}).collect()
-    assert all(r.start is None and r.rewrites is None for r in bad if r.conv_id != 3) and [r.end for r in bad if r.conv_id == 3] == [1]
+    assert [(r.start, r.end, r.rewrites, r.length, r.text) for r in bad if r.conv_id == 3] == [(1, 1, False, 1, "x")]
+    assert [(r.start, r.end, r.length) for r in bad if r.conv_id == 1] == [(1, 1, None), (None, None, None)]
+    named = spark.createDataFrame([("one", "0", "user", "A"), ("5", "x", "user", "B")], "conv_id string, turn string, role string, text string")
+    assert [(r.conv_id, r.turn, r.end) for r in chat.format_conversations(named, {"chatml": chat.chatml}).collect()] == [(5, None, 29)]
     assert chat.format_conversations(turns.limit(0)).count() == 0
