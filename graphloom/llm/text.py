@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text handled at once.  Only a bound on scratch memory: a longer text is a slice by itself.
 SLICE_BYTES = 1 << 20
+#: Bytes whose running hash is held at once; results don't depend on it.
+BLOCK_BYTES = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -108,6 +110,30 @@ def span_hash(running: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.nd
     return (running[stop] - running[start]) * _power_table(_INVERSE, len(running))[start]
 
 
+def hash_spans(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """`span_hash` of spans whose starts and whose stops rise, with the running hash of one block in memory at a time."""
+    out, head = np.zeros(len(start), np.uint64), np.uint64(0)
+    i = j = 0
+    for a in range(0, len(data), BLOCK_BYTES):
+        b = min(a + BLOCK_BYTES, len(data))
+        running, power = prefix_hash(data[a:b]), np.uint64(pow(_BASE, a, 1 << 64))
+        last = b == len(data)
+        to = len(start) if last else int(np.searchsorted(start, b))
+        out[i:to] -= head + running[start[i:to] - a] * power
+        i = to
+        to = len(stop) if last else int(np.searchsorted(stop, b))
+        out[j:to] += head + running[stop[j:to] - a] * power
+        j = to
+        head = np.uint64((int(head) + int(running[-1]) * int(power)) & (2**64 - 1))
+    for a in range(0, len(start), BLOCK_BYTES):
+        at = start[a : a + BLOCK_BYTES]
+        # base ** -at as the product of a power for the block and one within it
+        block, within = at // BLOCK_BYTES, at % BLOCK_BYTES
+        far = np.array([pow(_INVERSE, int(x) * BLOCK_BYTES, 1 << 64) for x in range(int(block[0]), int(block[-1]) + 1)], np.uint64)
+        out[a : a + BLOCK_BYTES] *= far[block - block[0]] * _power_table(_INVERSE, BLOCK_BYTES)[within]
+    return out
+
+
 def gram_hash(running: np.ndarray, n: int) -> np.ndarray:
     """Hash of the n bytes at each place from 0 to len - n."""
     count = len(running) - n
@@ -121,20 +147,25 @@ class Words:
         self.data, self.offsets = buffers(column)
         if offsets is not None:
             self.offsets = offsets  # other borders than those of the texts, e.g. of paragraphs
-        inside = _WORD[self.data]
-        before = np.zeros(len(inside), bool)
-        before[1:] = inside[:-1]
-        begins = self.offsets[:-1][self.offsets[:-1] < len(inside)]
-        before[begins] = False
-        after = np.zeros(len(inside), bool)
-        after[:-1] = inside[1:]
-        ends = self.offsets[1:]
-        after[ends[ends > 0] - 1] = False
-        self.start = np.flatnonzero(inside & ~before)
-        self.stop = np.flatnonzero(inside & ~after) + 1
+        starts, stops = [], []
+        # block by block: the masks of a long text never stand in memory as a whole
+        for a in range(0, len(self.data), BLOCK_BYTES):
+            b = min(a + BLOCK_BYTES, len(self.data))
+            inside = _WORD[self.data[max(a - 1, 0) : b + 1]]
+            if not a:
+                inside = np.append(False, inside)
+            if b == len(self.data):
+                inside = np.append(inside, False)
+            border = np.zeros(b - a + 1, bool)  # a text ends ahead of this place
+            border[self.offsets[np.searchsorted(self.offsets, a) : np.searchsorted(self.offsets, b, "right")] - a] = True
+            own = inside[1:-1]
+            starts.append(np.flatnonzero(own & (~inside[:-2] | border[:-1])) + a)
+            stops.append(np.flatnonzero(own & (~inside[2:] | border[1:])) + a + 1)
+        none = np.zeros(0, np.int64)
+        self.start, self.stop = np.concatenate([none, *starts]), np.concatenate([none, *stops])
         #: words of text i are first[i] : first[i + 1]
         self.first = np.searchsorted(self.start, self.offsets)
-        self.hash = mix(span_hash(prefix_hash(self.data), self.start, self.stop))
+        self.hash = mix(hash_spans(self.data, self.start, self.stop))
 
     def text_of(self) -> np.ndarray:
         """The text each word lies in."""

@@ -1,4 +1,7 @@
+import random
 import re
+import subprocess
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -46,3 +49,21 @@ def test_nulls_slices_and_offsets():
     assert list(tx.slices(column, 10)) == [(0, 2), (2, 3), (3, 4)]
     assert list(tx.slices(column.slice(0, 0))) == []
     assert tx.segment_sum(np.array([1, 2, 3]), np.array([0, 0, 2, 3])).tolist() == [0, 3, 3]
+
+
+def test_words_and_hashes_don_t_depend_on_blocks(monkeypatch):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abé  .\n") for _ in range(rng.randint(0, 40))) for _ in range(200)] + ["x" * 100, "", "", " y"]
+    whole = tx.Words(pa.array(texts))
+    spans = tx.span_hash(tx.prefix_hash(whole.data), whole.start, whole.stop)
+    assert np.array_equal(whole.hash, tx.mix(spans))
+    for size in (1, 3, 16, 64):
+        monkeypatch.setattr(tx, "BLOCK_BYTES", size)
+        cut = tx.Words(pa.array(texts))
+        assert all(np.array_equal(getattr(whole, x), getattr(cut, x)) for x in ("start", "stop", "first", "hash"))
+
+
+def test_words_of_a_very_long_text_take_little_memory():
+    code = "import resource, pyarrow as pa; from graphloom.llm import text as tx; b = 100 << 20; a = pa.array(['some words, ' * (b // 12)]); w = tx.Words(a); print(len(w.hash), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)"
+    words, mb = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split())
+    assert words == 2 * ((100 << 20) // 12) and mb < 1400
