@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import text as tx
-from graphloom.llm.common import per_slice, texts
+from graphloom.llm.common import integer, per_slice, texts
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -293,7 +293,7 @@ class Vocabulary:
         start[offsets[:-1][offsets[:-1] < len(data)]] = True
         begin = np.flatnonzero(start)
         end = np.append(begin[1:], len(data))
-        hashes = tx.mix(tx.span_hash(tx.prefix_hash(data), begin, end)) if len(begin) else np.zeros(0, np.uint64)
+        hashes = tx.mix(tx.hash_spans(data, begin, end))
         own, sample, which = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.known) > REMEMBERED:
             self.forget()
@@ -343,7 +343,7 @@ class Vocabulary:
         return out
 
 
-def _in_worker(held) -> Vocabulary:
+def in_worker(held) -> Vocabulary:
     """The broadcast model as this worker's vocabulary, built once in a Python process."""
     made = _built.get(held.value[0])
     if made is None:
@@ -355,7 +355,7 @@ def _in_worker(held) -> Vocabulary:
 _built: dict = {}
 
 
-def _share(spark, path: str):
+def share(spark, path: str):
     return spark.sparkContext.broadcast((path, read_model(path)))
 
 
@@ -366,10 +366,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     Repeated rows give repeated results, an empty table an empty one; other columns are dropped unless
     named in `more`.
     """
-    held = _share(docs.sparkSession, path)
+    held = share(docs.sparkSession, path)
 
     def make(batch: pa.RecordBatch) -> dict:
-        vocabulary = _in_worker(held)
+        vocabulary = in_worker(held)
         column = tx.clean(batch.column(1))
         ids, at = vocabulary.encode(column)
         same = pc.equal(vocabulary.decode(ids, at), pc.replace_substring(column, MARK, " "))
@@ -381,7 +381,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str = MODEL_PATH) -> DataFrame:
     """(doc_id, text) of every row with ids; null ids give a null text, ids outside the vocabulary raise."""
-    held = _share(encoded.sparkSession, path)
+    held = share(encoded.sparkSession, path)
 
     def run(batches):
         for batch in batches:
@@ -389,7 +389,7 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", pat
             flat = lists.flatten()
             at = np.zeros(len(lists) + 1, np.int64)
             np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), out=at[1:])
-            text = _in_worker(held).decode(np.asarray(flat, np.int64), at)
+            text = in_worker(held).decode(np.asarray(flat, np.int64), at)
             yield pa.RecordBatch.from_arrays([batch.column(0), pc.if_else(lists.is_valid(), text, pa.scalar(None, pa.string()))], ["doc_id", "text"])
 
-    return encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")
+    return encoded.select(integer(F.col(id_col)).alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")

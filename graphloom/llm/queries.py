@@ -31,7 +31,7 @@ def op5_source_mixing(spark, sf_dir):
 
 
 def op6_sstable_output(spark, sf_dir):
-    return sstable.write_and_verify(table(spark, sf_dir, "documents"))
+    return sstable.token_shards(table(spark, sf_dir, "documents"))
 
 
 def op7_chat_formatting(spark, sf_dir):

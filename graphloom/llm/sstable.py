@@ -6,7 +6,7 @@ the one before, with a restart every 16 entries.  Blocks are compressed with zst
 the last key of each block; a lookup asks the Bloom filter, bisects the index, reads one block (and the
 next ones while the key goes on) and bisects its restarts.
 
-Strings are stored as byte-level token ids (their UTF-8 bytes), integer lists as uint16 or uint32 ids.
+Lists of token ids are stored as uint16 or uint32, strings as their UTF-8 bytes.
 Files are written under a name of their own and moved into place; the manifest lists those that count, so
 a task that is run twice leaves an unlisted file and no damage.
 """
@@ -22,19 +22,21 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.llm import pieces
 from graphloom.llm import text as tx
-from graphloom.llm.common import cut, scratch
+from graphloom.llm.common import cut, integer, scratch
 
 MAGIC = b"GLSSTv01"
 FOOTER = struct.Struct("<QQQQQQII8s")
 BLOCK_BYTES, RESTART, BITS_PER_KEY, PROBES = 1 << 16, 16, 10, 7
-#: Documents of a shard, about.
-SHARD_ROWS = 20_000
+#: Packed values of a shard, about.
+SHARD_BYTES = 32 << 20
 
 
 def key_bytes(number: int) -> bytes:
@@ -227,95 +229,156 @@ class Reader:
             yield from self._entries(raw, 0, len(raw) - 4 - 4 * struct.unpack("<I", raw[-4:])[0])
 
 
-def _target(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
+def default_root(spark: SparkSession) -> str:
+    """The file system that Spark itself takes for a path without a scheme, as a URI; "" for the local one."""
+    root = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or ""
+    return "" if root.startswith("file:") else root.rstrip("/")
 
 
-def _sorted_shards(df: DataFrame, key_col: str, value_col: str, shard_rows: int) -> DataFrame:
-    """(key, value) in key order inside key ranges; equal keys by value."""
-    rows = df.select(F.col(key_col).cast("long").alias("key"), F.col(value_col).alias("value")).where("key is not null")
-    return rows.repartitionByRange(max(1, -(-df.count() // shard_rows)), "key").sortWithinPartitions("key", "value")
+def _target(uri: str, root: str = "") -> tuple[pafs.FileSystem, str]:
+    """File system and path; a path without a scheme lies where Spark itself would put it."""
+    if "://" not in uri and not uri.startswith("file:"):
+        if not root:
+            return pafs.LocalFileSystem(), uri
+        uri = f"{root}/{uri.lstrip('/')}"
+    if uri.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+    return pafs.FileSystem.from_uri(uri)
 
 
-def _write_partition(batches, folder: str):
-    """One shard from the batches of a partition: (path, what `close` says, first and last key, keys in order)."""
-    fs, at = _target(folder)
-    fs.create_dir(at, recursive=True)
-    name = f"{at}/{uuid.uuid4().hex}"
-    keys: list[int] = []
-    with fs.open_output_stream(f"{name}.part") as sink:
-        writer = Writer(sink)
+def packed(df: DataFrame, key_col: str, value_col: str) -> DataFrame:
+    """(key, value) with the value as bytes, packed before anything is sorted; rows without an integer key are left out."""
+    rows = df.select(integer(F.col(key_col)).alias("key"), F.col(value_col).alias("value")).where("key is not null")
+
+    def run(batches):
         for batch in batches:
-            for key, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                writer.add(key_bytes(key), pack_value(value.as_py()))
-                keys.append(key)
-        facts = writer.close()
-    if not keys:
-        fs.delete_file(f"{name}.part")
-        return None
-    fs.move(f"{name}.part", f"{name}.sst")
-    return f"{name}.sst", facts, keys
+            values = batch.column(1)
+            if pa.types.is_list(values.type):
+                flat, at = np.asarray(values.flatten()), np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(values), 0)))
+                made = [pack_value(flat[a:b] if there else None) for a, b, there in zip(at, at[1:], values.is_valid().to_pylist())]
+            else:
+                made = [pack_value(v) for v in values.to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["key", "value"])
+
+    return rows.mapInArrow(run, "key long, value binary")
 
 
-def write(df: DataFrame, folder: str, key_col: str = "doc_id", value_col: str = "text", shard_rows: int = SHARD_ROWS) -> DataFrame:
+def write(df: DataFrame, folder: str, key_col: str = "doc_id", value_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Writes the shards to a shared folder: the manifest (path, min_key, max_key, n, n_blocks, n_bytes), one row a shard.
 
-    Rows without a key are left out; a null value is kept as such; repeated keys keep all their values, in
-    order of the value; an empty table writes nothing; other columns are ignored.  The manifest is kept by
-    a checkpoint, so it always names the files of the tasks that counted.
+    Values are strings, bytes or lists of token ids; a shard takes about `shard_bytes` of them.  Rows without an
+    integer key are left out; a null value is kept as such; repeated keys keep all their values, and one that
+    fills more than a shard goes on in the next; an empty table writes nothing; other columns are ignored.  The
+    packed rows are kept in the shared folder while keys are ranged and sorted, so values are made once.  The manifest is kept by a
+    checkpoint: it is written once and always names the files of the tasks that counted.
     """
+    spark = df.sparkSession
+    table = scratch(spark, "packed")
+    packed(df, key_col, value_col).write.parquet(table)
+    rows = spark.read.parquet(table)
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("value")), F.lit(0))).first()[0]
+    shards = rows.repartitionByRange(max(1, -(-size // shard_bytes)), "key", F.xxhash64("value")).sortWithinPartitions("key", "value")
+    root = default_root(spark)
 
     def run(batches):
-        done = _write_partition(batches, folder)
-        if done:
-            path, facts, keys = done
-            yield pa.RecordBatch.from_pydict({"path": [path], "min_key": [keys[0]], "max_key": [keys[-1]], **{k: [v] for k, v in facts.items()}})
+        fs, at = _target(folder, root)
+        fs.create_dir(at, recursive=True)
+        name = f"{at}/{uuid.uuid4().hex}"
+        ends: list[int] = []
+        with fs.open_output_stream(f"{name}.part") as sink:
+            writer = Writer(sink)
+            for batch in batches:
+                keys = batch.column(0).to_pylist()
+                for key, value in zip(keys, batch.column(1).to_pylist()):
+                    writer.add(key_bytes(key), value)
+                ends = [ends[0] if ends else keys[0], keys[-1]] if keys else ends
+            facts = writer.close()
+        if not ends:
+            fs.delete_file(f"{name}.part")
+            return
+        fs.move(f"{name}.part", f"{name}.sst")
+        yield pa.RecordBatch.from_pydict({"path": [f"{folder.rstrip('/')}/{name.rsplit('/', 1)[-1]}.sst"], "min_key": [ends[0]], "max_key": [ends[1]], **{k: [v] for k, v in facts.items()}})
+
+    manifest = cut(shards.mapInArrow(run, "path string, min_key long, max_key long, n long, n_blocks long, n_bytes long"))
+    remove(spark, table)
+    return manifest
+
 
-    return cut(_sorted_shards(df, key_col, value_col, shard_rows).mapInArrow(run, "path string, min_key long, max_key long, n long, n_blocks long, n_bytes long"))
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch table of ours that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def lookup(manifest: DataFrame, keys: list[int], folder: str) -> dict[int, list]:
-    """Values of some keys, by the shards whose key range holds them."""
-    fs, _ = _target(folder)
+def lookup(manifest: DataFrame, keys: list[int]) -> dict[int, list]:
+    """Values of some keys in order, by the shards whose key range holds them; none for a key that isn't there."""
+    root = default_root(manifest.sparkSession)
     found: dict[int, list] = {k: [] for k in keys}
     wanted = sorted(found)
     for shard in manifest.orderBy("min_key").collect():
         own = wanted[bisect.bisect_left(wanted, shard.min_key) : bisect.bisect_right(wanted, shard.max_key)]
         if own:
-            with fs.open_input_file(shard.path) as source:
+            fs, path = _target(shard.path, root)
+            with fs.open_input_file(path) as source:
                 reader = Reader(source)
                 for k in own:
-                    found[k] += [unpack_value(v) for v in reader.get(key_bytes(k))]
-    return found
+                    found[k] += reader.get(key_bytes(k))
+    return {k: [unpack_value(v) for v in sorted(values)] for k, values in found.items()}
 
 
-def write_and_verify(df: DataFrame, folder: str | None = None, key_col: str = "doc_id", value_col: str = "text", shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Writes the shards and looks every key up again: (doc_id, n_bytes, md5) of each stored value.
+def looked_up(manifest: DataFrame) -> DataFrame:
+    """(doc_id, value) of every key of every shard, each found again by a lookup; value is packed."""
+    root = default_root(manifest.sparkSession)
 
-    n_bytes and md5 are those of the value as read from the file, null for a null value.
+    def run(batches):
+        for batch in batches:
+            for name, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                fs, path = _target(name, root)
+                with fs.open_input_file(path) as source:
+                    reader, seen = Reader(source), 0
+                    keys, values, size = [], [], 0
+                    for key in dict.fromkeys(k for k, _ in reader.scan()):
+                        for value in reader.get(key):
+                            keys.append(key_number(key))
+                            values.append(value)
+                            size += len(value)
+                        if size > 1 << 22:
+                            seen, size = seen + len(keys), 0
+                            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(values, pa.binary())], ["doc_id", "value"])
+                            keys, values = [], []
+                    if seen + len(keys) != n:
+                        raise RuntimeError(f"{path}: wrote {n} entries, found {seen + len(keys)}")
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(values, pa.binary())], ["doc_id", "value"])
+
+    return manifest.select("path", "n").mapInArrow(run, "doc_id long, value binary")
+
+
+def write_and_verify(df: DataFrame, folder: str | None = None, key_col: str = "doc_id", value_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Writes the shards, then looks every key up again: (doc_id, n_bytes, md5) of each stored value, null for a null value."""
+    found = looked_up(write(df, folder or scratch(df.sparkSession, "sstable"), key_col, value_col, shard_bytes))
+    there = F.substring("value", 1, 1) != F.lit(b"n")
+    return found.select("doc_id", F.when(there, F.octet_length("value") - 1).cast("long").alias("n_bytes"), F.when(there, F.md5(F.expr("substring(value, 2)"))).alias("md5"))
+
+
+def token_shards(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, path: str = pieces.MODEL_PATH) -> DataFrame:
+    """Writes every document's token ids and reads them back by lookup: (doc_id, n_bytes, md5).
+
+    n_bytes and md5 are those of the text that the stored ids decode to.  A null text has no ids and decodes to
+    "", as an empty one does; U+2581 comes back as a space.  Rows without an integer doc_id are left out; see `write`.
     """
-    folder = folder or scratch(df.sparkSession, "sstable")
+    ids = pieces.encode(docs, id_col, text_col, path).select("doc_id", "ids")
+    found = looked_up(write(ids, folder or scratch(docs.sparkSession, "sstable"), "doc_id", "ids", shard_bytes))
+    held = pieces.share(docs.sparkSession, path)
 
     def run(batches):
-        done = _write_partition(batches, folder)
-        if not done:
-            return
-        path, facts, keys = done
-        fs, _ = _target(folder)
-        out: list[list] = [[], [], []]
-        with fs.open_input_file(path) as source:
-            reader = Reader(source)
-            for key in dict.fromkeys(keys):
-                for value in reader.get(key_bytes(key)):
-                    there = value[:1] != b"n"
-                    out[0].append(key)
-                    out[1].append(len(value) - 1 if there else None)
-                    out[2].append(hashlib.md5(value[1:]).hexdigest() if there else None)
-        if len(out[0]) != facts["n"]:
-            raise RuntimeError(f"{path}: wrote {facts['n']} entries, found {len(out[0])}")
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], ["doc_id", "n_bytes", "md5"])
-
-    return _sorted_shards(df, key_col, value_col, shard_rows).mapInArrow(run, "doc_id long, n_bytes long, md5 string")
-
-
-SQL = "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes, md5(text) AS md5 FROM documents WHERE doc_id IS NOT NULL"
+        for batch in batches:
+            ids = [np.asarray(unpack_value(v), np.int64) for v in batch.column(1).to_pylist()]
+            at = np.append(0, np.cumsum([len(x) for x in ids]))
+            text = pieces.in_worker(held).decode(np.concatenate([np.zeros(0, np.int64), *ids]), at)
+            yield pa.RecordBatch.from_arrays([batch.column(0), text], ["doc_id", "text"])
+
+    text = found.mapInArrow(run, "doc_id long, text string")
+    return text.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.md5("text").alias("md5"))
+
+
+SQL = "SELECT doc_id, CAST(strlen(replace(coalesce(text, ''), chr(9601), ' ')) AS BIGINT) AS n_bytes, md5(replace(coalesce(text, ''), chr(9601), ' ')) AS md5 FROM documents WHERE doc_id IS NOT NULL"
