@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import text as tx
-from graphloom.llm.common import hashed_fraction, keep_rows, per_slice, texts
+from graphloom.llm.common import hashed_fraction, integer, keep_rows, per_slice, texts
 
 TRI_BITS, BI_BITS = 17, 13
 ALPHA = 0.02
@@ -174,7 +174,7 @@ def train(docs: DataFrame, lang_col: str = "lang", max_train: int = MAX_TRAIN, s
         return Model([], np.zeros((0, 1 << TRI_BITS), np.float32), np.zeros((0, 1 << BI_BITS), np.float32))
     large = [r for r in sizes if r[1] > max_train]
     # rows without an id are sampled by their text
-    by = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+    by = F.coalesce(integer(F.col("doc_id")), F.xxhash64("text"))
     taken = ~F.col(lang_col).isin([r[0] for r in large]) if large else F.lit(True)
     for r in large:
         taken = taken | ((F.col(lang_col) == r[0]) & hashed_fraction(by, max_train / r[1], seed))

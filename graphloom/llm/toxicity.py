@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import text as tx
-from graphloom.llm.common import hashed_fraction, keep_rows, per_slice, texts
+from graphloom.llm.common import integer, keep_rows, per_slice, texts
 
 SIZES = (3, 4, 5, 6)
 BITS = 20
@@ -91,15 +91,20 @@ def _vocabulary(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
 
 
 def fit(column: pa.Array, toxic: np.ndarray, seed: int = 7, rounds: int = 150, l2: float = 1e-3) -> Model:
-    """Fits on texts and 0/1 labels; without both classes the model calls nothing toxic."""
+    """Fits on texts and 0/1 labels; without both classes the model calls nothing toxic.
+
+    An n-gram counts from the fourth text on, so a handful of labels makes a model that knows few of them.
+    """
     toxic = np.asarray(toxic, np.float64)
-    if len(toxic) < 8 or toxic.min() == toxic.max():
+    if not len(toxic) or toxic.min() == toxic.max():
         return Model(np.zeros(1 << BITS, np.float32), -10.0, 0.0)
     own, at, buckets, grams = _vocabulary(column)
     words = len(grams) - 1
     doc = np.repeat(np.arange(len(toxic), dtype=np.int32), np.diff(at))
     gram_word = np.repeat(np.arange(words, dtype=np.int32), np.diff(grams))
     held = np.random.default_rng(seed).random(len(toxic)) < HELD_OUT
+    if not 0 < toxic[~held].sum() < (~held).sum():
+        held[:] = False  # too few to hold any out
     train = ~held
 
     def counts(mask: np.ndarray) -> np.ndarray:
@@ -157,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, seed:
 
     Labels without an id or a value are left out; an id labelled both ways counts as toxic.
     """
-    known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)").groupBy("id").agg(F.max("toxic").alias("toxic"))
+    known = labels.select(integer(F.col("doc_id")).alias("id"), F.col("toxic").try_cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)").groupBy("id").agg(F.max("toxic").alias("toxic"))
     sizes = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     share = F.when(F.col("toxic") == 1, F.lit(min(1.0, max_train / max(1, sizes.get(1, 0))))).otherwise(F.lit(min(1.0, max_train / max(1, sizes.get(0, 0)))))
     chosen = known.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < share * (1 << 30))
