@@ -19,6 +19,7 @@ import math
 import struct
 import uuid
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import pieces
 from graphloom.llm import text as tx
-from graphloom.llm.common import cut, integer, scratch
+from graphloom.llm.common import cut, integer, per_slice, scratch, texts
 
 MAGIC = b"GLSSTv01"
 FOOTER = struct.Struct("<QQQQQQII8s")
@@ -268,13 +269,20 @@ def write(df: DataFrame, folder: str, key_col: str = "doc_id", value_col: str =
 
     Values are strings, bytes or lists of token ids; a shard takes about `shard_bytes` of them.  Rows without an
     integer key are left out; a null value is kept as such; repeated keys keep all their values, and one that
-    fills more than a shard goes on in the next; an empty table writes nothing; other columns are ignored.  The
-    packed rows are kept in the shared folder while keys are ranged and sorted, so values are made once.  The manifest is kept by a
-    checkpoint: it is written once and always names the files of the tasks that counted.
+    fills more than a shard goes on in the next; an empty table writes nothing; other columns are ignored.
+    """
+    return write_packed(packed(df, key_col, value_col), folder, shard_bytes)
+
+
+def write_packed(df: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """`write` of rows (key, value) whose values are packed.
+
+    They are kept in the shared folder while keys are ranged and sorted, so values are made once.  The manifest
+    is kept by a checkpoint: it is written once and always names the files of the tasks that counted.
     """
     spark = df.sparkSession
     table = scratch(spark, "packed")
-    packed(df, key_col, value_col).write.parquet(table)
+    df.write.parquet(table)
     rows = spark.read.parquet(table)
     size = rows.agg(F.coalesce(F.sum(F.octet_length("value")), F.lit(0))).first()[0]
     shards = rows.repartitionByRange(max(1, -(-size // shard_bytes)), "key", F.xxhash64("value")).sortWithinPartitions("key", "value")
@@ -326,31 +334,37 @@ def lookup(manifest: DataFrame, keys: list[int]) -> dict[int, list]:
     return {k: [unpack_value(v) for v in sorted(values)] for k, values in found.items()}
 
 
-def looked_up(manifest: DataFrame) -> DataFrame:
-    """(doc_id, value) of every key of every shard, each found again by a lookup; value is packed."""
+def looked_up(manifest: DataFrame, finish: Callable[[list[bytes]], pa.Array] | None = None, schema: str = "doc_id long, value binary") -> DataFrame:
+    """(doc_id, value) of every key of every shard, each found again by a lookup; value is packed, or what `finish` makes of it."""
     root = default_root(manifest.sparkSession)
+    finish = finish or (lambda values: pa.array(values, pa.binary()))
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def found(reader: Reader):
+        keys, values, size = [], [], 0
+        for key in dict.fromkeys(k for k, _ in reader.scan()):
+            own = reader.get(key)
+            keys += [key_number(key)] * len(own)
+            values += own
+            size += sum(map(len, own))
+            if size > 1 << 20:
+                yield keys, values
+                keys, values, size = [], [], 0
+        yield keys, values
 
     def run(batches):
         for batch in batches:
             for name, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 fs, path = _target(name, root)
                 with fs.open_input_file(path) as source:
-                    reader, seen = Reader(source), 0
-                    keys, values, size = [], [], 0
-                    for key in dict.fromkeys(k for k, _ in reader.scan()):
-                        for value in reader.get(key):
-                            keys.append(key_number(key))
-                            values.append(value)
-                            size += len(value)
-                        if size > 1 << 22:
-                            seen, size = seen + len(keys), 0
-                            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(values, pa.binary())], ["doc_id", "value"])
-                            keys, values = [], []
-                    if seen + len(keys) != n:
-                        raise RuntimeError(f"{path}: wrote {n} entries, found {seen + len(keys)}")
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(values, pa.binary())], ["doc_id", "value"])
-
-    return manifest.select("path", "n").mapInArrow(run, "doc_id long, value binary")
+                    seen = 0
+                    for keys, values in found(Reader(source)):
+                        seen += len(keys)
+                        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), finish(values)], names)
+                if seen != n:
+                    raise RuntimeError(f"{path}: wrote {n} entries, found {seen}")
+
+    return manifest.select("path", "n").mapInArrow(run, schema)
 
 
 def write_and_verify(df: DataFrame, folder: str | None = None, key_col: str = "doc_id", value_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -366,19 +380,21 @@ def token_shards(docs: DataFrame, folder: str | None = None, id_col: str = "doc_
     n_bytes and md5 are those of the text that the stored ids decode to.  A null text has no ids and decodes to
     "", as an empty one does; U+2581 comes back as a space.  Rows without an integer doc_id are left out; see `write`.
     """
-    ids = pieces.encode(docs, id_col, text_col, path).select("doc_id", "ids")
-    found = looked_up(write(ids, folder or scratch(docs.sparkSession, "sstable"), "doc_id", "ids", shard_bytes))
     held = pieces.share(docs.sparkSession, path)
 
-    def run(batches):
-        for batch in batches:
-            ids = [np.asarray(unpack_value(v), np.int64) for v in batch.column(1).to_pylist()]
-            at = np.append(0, np.cumsum([len(x) for x in ids]))
-            text = pieces.in_worker(held).decode(np.concatenate([np.zeros(0, np.int64), *ids]), at)
-            yield pa.RecordBatch.from_arrays([batch.column(0), text], ["doc_id", "text"])
+    def make(batch: pa.RecordBatch) -> dict:
+        ids, at = pieces.in_worker(held).encode(tx.clean(batch.column(1)))
+        wide = b"i" if ids.max(initial=0) >> 16 else b"h"
+        raw, size = ids.astype("<u4" if wide == b"i" else "<u2").tobytes(), 4 if wide == b"i" else 2
+        return {"key": batch.column(0), "value": [wide + raw[size * a : size * b] for a, b in zip(at.tolist(), at[1:].tolist())]}
+
+    def text(values: list[bytes]) -> pa.Array:
+        ids = [np.asarray(unpack_value(v), np.int64) for v in values]
+        return pieces.in_worker(held).decode(np.concatenate([np.zeros(0, np.int64), *ids]), np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int64))
 
-    text = found.mapInArrow(run, "doc_id long, text string")
-    return text.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.md5("text").alias("md5"))
+    rows = per_slice(texts(docs, id_col, text_col).where("doc_id is not null"), make, "key long, value binary")
+    found = looked_up(write_packed(rows, folder or scratch(docs.sparkSession, "sstable"), shard_bytes), text, "doc_id long, text string")
+    return found.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.md5("text").alias("md5"))
 
 
 SQL = "SELECT doc_id, CAST(strlen(replace(coalesce(text, ''), chr(9601), ' ')) AS BIGINT) AS n_bytes, md5(replace(coalesce(text, ''), chr(9601), ' ')) AS md5 FROM documents WHERE doc_id IS NOT NULL"
