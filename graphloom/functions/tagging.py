@@ -92,7 +92,10 @@ def strategy_of(path: str, source: str, overrides: dict[str, str] | None = None,
     return next((name for glob, name in (overrides or {}).items() if re.search(glob_pattern(glob), path)), default)
 
 
-def tagged(path: str, source: str, tags: list[str], overrides: dict[str, str] | None = None) -> tuple[str | None, str]:
-    """(strategy, new source)."""
-    name = strategy_of(path, source, overrides)
-    return name, STRATEGIES[name](source, writable(tags)) if name else source
+def tagged(path: str, source: str, tags: list[str], overrides: dict[str, str] | None = None, more: dict | None = None) -> tuple[str | None, str]:
+    """(strategy, new source); `more` adds writers (source, tags) -> source, which an override may name for any file, or replaces some."""
+    from graphloom.operators.reports import glob_pattern
+
+    own = next((name for glob, name in (overrides or {}).items() if name in (more or {}) and re.search(glob_pattern(glob), path)), None)
+    name = own or strategy_of(path, source, overrides)
+    return name, {**STRATEGIES, **(more or {})}[name](source, writable(tags)) if name else source

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,10 +12,10 @@ from graphloom.functions.tagging import tagged
 from graphloom.plans.model import CodeGraph
 
 
-def preview(graph: CodeGraph, files: DataFrame, overrides: dict[str, str] | None = None) -> DataFrame:
+def preview(graph: CodeGraph, files: DataFrame, overrides: dict[str, str] | None = None, more: dict[str, Callable[[str, list[str]], str]] | None = None) -> DataFrame:
     """(path, strategy, tags, status, content): new content of each test file; status updated, unchanged or skipped.
 
-    Only tags of kind import are written; `files` has path and content.
+    Only tags of kind import are written; `files` has path and content.  `more` adds writers, see `tagging.tagged`.
     """
     tests = graph.nodes.where("category = 'test'").select("path")
     tags = graph.tags.where("kind = 'import'").groupBy("path").agg(F.array_sort(F.collect_set("name")).alias("tags"))
@@ -25,7 +25,7 @@ def preview(graph: CodeGraph, files: DataFrame, overrides: dict[str, str] | None
         for pdf in batches:
             out = []
             for path, content, own in zip(pdf["path"], pdf["content"], pdf["tags"]):
-                name, new = tagged(path, content, list(own), overrides)
+                name, new = tagged(path, content, list(own), overrides, more)
                 out.append((path, name, list(own), "skipped" if name is None else "unchanged" if new == content else "updated", new))
             yield pd.DataFrame(out, columns=["path", "strategy", "tags", "status", "content"])
 
@@ -38,7 +38,11 @@ def summary(previewed: DataFrame) -> DataFrame:
 
 
 def write(previewed: DataFrame, root: str) -> None:
-    """Writes updated files below a shared root, from the tasks that computed them."""
+    """Writes updated files below a root on a file system that all executors share, from the tasks that computed them."""
+    master = previewed.sparkSession.sparkContext.master
+    if not root.startswith("file:") and not master.startswith("local[") and master != "local":
+        raise ValueError("name the shared folder as file:/...: on a cluster a plain path is each machine's own")
+    root = root.removeprefix("file:")
 
     def run(rows) -> None:
         for r in rows:

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.plans.model import CodeGraph
+from graphloom.plans.session import cut, delete, exists
 from graphloom.plans.traverse import all_pairs, reach, reference_cycles, strongly_connected
+from graphloom.sources.facts import public_entries
 
 CALL_TYPES = tuple("go javascript python typescript".split())
 
 
-def is_test(graph: CodeGraph) -> DataFrame:
-    """Paths of test files: category test, or any tag named test."""
+def is_test(graph: CodeGraph, identify: Callable[[DataFrame], Column] | None = None) -> DataFrame:
+    """Paths of test files: category test, or any tag named test; or the nodes for which the caller's condition holds."""
+    if identify is not None:
+        return graph.nodes.where(identify(graph.nodes)).select("path").distinct()
     return graph.nodes.where("category = 'test'").select("path").union(graph.tags.where("name = 'test'").join(graph.nodes, "path", "left_semi").select("path")).distinct()
 
 
@@ -33,11 +39,29 @@ def _reverse(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
+def _numbered(graph: CodeGraph, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, path) and the edges by number: pairs of many sources are kept and compared as integers and named at the end."""
+    number = cut(graph.nodes.select(F.col("node_seq").alias("node"), "path"))
+    a, b = number.toDF("a", "src"), number.toDF("b", "dst")
+    return number, edges.join(a, "src").join(b, "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+
+
 def dependencies(graph: CodeGraph, file: str, depth: int = 1) -> DataFrame:
-    """(path, depth, symbols) within `depth` hops; symbols are those of the file's own first edge to it (hop 1)."""
-    own = graph.internal().where(F.col("src") == file).groupBy("dst").agg(F.min_by("symbols", "edge_seq").alias("symbols"))
-    found = own.select(F.col("dst").alias("node"), F.lit(1).alias("depth")) if depth == 1 else reach(_edges(graph), _seeds(graph, file), depth).where("depth > 0")
-    return found.where(F.col("node") != file).join(own, found.node == own.dst, "left").select(F.col("node").alias("path"), "depth", "symbols")
+    """(path, depth, symbols) within `depth` hops; symbols are those of the first edge from the file one hop nearer.
+
+    Of several files one hop nearer the first in node order counts.
+    """
+    inner = graph.internal().where("src <> dst")
+    if depth == 1:
+        own = inner.where(F.col("src") == file).groupBy("dst").agg(F.min_by(F.struct("symbols"), "edge_seq").alias("v"))
+        return own.select(F.col("dst").alias("path"), F.lit(1).alias("depth"), "v.symbols")
+    inner = cut(inner)
+    found = reach(inner.select("src", "dst"), _seeds(graph, file), depth)
+    near = found.join(graph.nodes.select(F.col("path").alias("node"), "node_seq"), "node").select(F.col("node").alias("src"), (F.col("depth") + 1).alias("depth"), "node_seq")
+    far = found.where("depth > 0").select(F.col("node").alias("dst"), "depth")
+    parents = inner.join(near, "src").join(far, ["dst", "depth"])
+    best = parents.groupBy("dst", "depth").agg(F.min_by(F.struct("symbols"), F.struct("node_seq", "edge_seq")).alias("v"))
+    return best.select(F.col("dst").alias("path"), "depth", "v.symbols")
 
 
 def dependents(graph: CodeGraph, file: str) -> DataFrame:
@@ -45,7 +69,7 @@ def dependents(graph: CodeGraph, file: str) -> DataFrame:
     return graph.internal().where((F.col("dst") == file) & (F.col("src") != file)).groupBy("src").agg(F.min_by("symbols", "edge_seq").alias("symbols")).withColumnRenamed("src", "path")
 
 
-def affected(graph: CodeGraph, file: str, tests_only: bool = False, changed_symbols: list[str] | None = None) -> DataFrame:
+def affected(graph: CodeGraph, file: str, tests_only: bool = False, changed_symbols: list[str] | None = None, identify: Callable[[DataFrame], Column] | None = None) -> DataFrame:
     """(path, depth) of all files that depend on `file`.
 
     With changed symbols only importers count whose first edge names one of them, "default", "*" or the
@@ -60,7 +84,7 @@ def affected(graph: CodeGraph, file: str, tests_only: bool = False, changed_symb
         hit = first if "*" in changed_symbols else first.where(F.col("symbols").isNull() | F.arrays_overlap("symbols", names))
         found = reach(edges, hit.select(F.col("path").alias("node"))).withColumn("depth", F.col("depth") + 1).where(F.col("node") != file)
     found = found.select(F.col("node").alias("path"), "depth")
-    return found.join(is_test(graph), "path", "left_semi") if tests_only else found
+    return found.join(is_test(graph, identify), "path", "left_semi") if tests_only else found
 
 
 def callers(graph: CodeGraph, file: str, depth: int = 1) -> DataFrame:
@@ -83,7 +107,9 @@ def call_edges(graph: CodeGraph, file: str) -> DataFrame:
 
 def impact_pairs(graph: CodeGraph) -> DataFrame:
     """(path, affected, depth) for every file: the change-impact cache as a table."""
-    return all_pairs(_reverse(_edges(graph)), graph.nodes.select(F.col("path").alias("node"))).select(F.col("source").alias("path"), F.col("node").alias("affected"), "depth")
+    number, edges = _numbered(graph, _edges(graph))
+    found = all_pairs(_reverse(edges), number.select("node")).join(number, "node").select("source", F.col("path").alias("affected"), "depth")
+    return found.join(number.withColumnRenamed("node", "source"), "source").select("path", "affected", "depth")
 
 
 def fingerprint(graph: CodeGraph) -> DataFrame:
@@ -93,6 +119,51 @@ def fingerprint(graph: CodeGraph) -> DataFrame:
     return graph.nodes.agg(F.count("*").alias("n"), F.concat_ws("-", *[part(at).cast("string") for at in (1, 9, 17, 25)]).alias("fingerprint"))
 
 
+@dataclass(frozen=True)
+class Impact:
+    """The blast radius of every file as a table (path, affected), and the fingerprint of the graph it was made from."""
+
+    pairs: DataFrame
+    fingerprint: str
+
+    def lookup(self, file: str) -> DataFrame:
+        """(path) of what depends on `file`; nothing for a file that isn't there."""
+        return self.pairs.where(F.col("path") == file).select(F.col("affected").alias("path"))
+
+    def is_current(self, graph: CodeGraph) -> bool:
+        """Whether the graph still has the files, times and sizes of this table."""
+        return fingerprint(graph).first().fingerprint == self.fingerprint
+
+    def save(self, folder: str) -> None:
+        """Pairs partitioned by a hash of the path, so that a lookup reads one part; the fingerprint is written last."""
+        delete(self.pairs.sparkSession, f"{folder}/fingerprint")
+        self.pairs.withColumn("part", F.pmod(F.xxhash64("path"), F.lit(IMPACT_PARTS)).cast("int")).repartition("part").sortWithinPartitions("path").write.mode("overwrite").partitionBy("part").parquet(f"{folder}/pairs")
+        self.pairs.sparkSession.range(1).select(F.lit(self.fingerprint).alias("fingerprint")).write.mode("overwrite").parquet(f"{folder}/fingerprint")
+
+
+#: Parts of a saved impact table.
+IMPACT_PARTS = 64
+
+
+def build_impact(graph: CodeGraph) -> Impact:
+    """Computed once and kept in the shared folder."""
+    return Impact(cut(impact_pairs(graph).select("path", "affected")), fingerprint(graph).first().fingerprint)
+
+
+def load_impact(spark: SparkSession, folder: str) -> Impact | None:
+    """The saved table; None if there is none or its writing wasn't finished."""
+    if not exists(spark, f"{folder}/fingerprint/_SUCCESS"):
+        return None
+    schema = "path STRING, affected STRING, part INT"
+    return _SavedImpact(spark.read.schema(schema).parquet(f"{folder}/pairs"), spark.read.parquet(f"{folder}/fingerprint").first().fingerprint)
+
+
+class _SavedImpact(Impact):
+    def lookup(self, file: str) -> DataFrame:
+        part = F.pmod(F.xxhash64(F.lit(file)), F.lit(IMPACT_PARTS)).cast("int")
+        return self.pairs.where((F.col("part") == part) & (F.col("path") == file)).select(F.col("affected").alias("path"))
+
+
 def cycle_members(graph: CodeGraph) -> DataFrame:
     """(path, component) of the files on import cycles."""
     return strongly_connected(_edges(graph)).select(F.col("node").alias("path"), "component")
@@ -120,6 +191,24 @@ def cycles(graph: CodeGraph) -> DataFrame:
     return inner.groupBy("component").applyInPandas(walk, "cycle array<string>")
 
 
+def first_cycles(graph: CodeGraph, most_edges: int = 5_000_000) -> list[list[str]]:
+    """`cycles` in the very order of a single walk over all files in node order, each entered where that walk enters it.
+
+    The walk is one task by nature, so edges that can't lie on or before a cycle are left out, and above `most_edges` this is refused.
+    """
+    seq = graph.nodes.select("path", "node_seq")
+    inner = cut(graph.internal().select("src", "dst", "edge_seq"))
+    # only files from which a cycle can be reached matter, and those are few in most graphs
+    toward = reach(inner.select(F.col("dst").alias("src"), F.col("src").alias("dst")), cycle_members(graph).select(F.col("path").alias("node"))).select("node")
+    kept = inner.join(toward.withColumnRenamed("node", "src"), "src", "left_semi").join(toward.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    kept = cut(kept.join(seq.toDF("src", "a"), "src").join(seq.toDF("dst", "b"), "dst").select("a", "edge_seq", "b", "src", "dst"))
+    if kept.count() > most_edges:
+        raise ValueError(f"more than {most_edges} edges lead to cycles: use cycles() instead")
+    rows = kept.collect()
+    names = {r.a: r.src for r in rows} | {r.b: r.dst for r in rows}
+    return [[names[i] for i in c] for c in reference_cycles([(r.a, r.edge_seq, r.b) for r in rows])]
+
+
 def unused_files(graph: CodeGraph, files: DataFrame) -> DataFrame:
     """Files on disk (path) that aren't in the graph."""
     return files.select("path").join(graph.nodes, "path", "left_anti")
@@ -137,23 +226,43 @@ def hub_label(path: Column) -> Column:
     return F.when(stem == "index", F.coalesce(folder, stem)).otherwise(stem)
 
 
-def feature_hubs(graph: CodeGraph, min_out_degree: int = 5) -> DataFrame:
-    """(path, label, out_degree, node_seq) of files, neither tests nor barrels, with so many internal imports."""
-    found = out_degrees(graph).where(F.col("out_degree") >= min_out_degree).join(graph.nodes.where("category not in ('test', 'barrel')").select("path", "node_seq"), "path")
-    return found.select("path", hub_label(F.col("path")).alias("label"), "out_degree", "node_seq")
+#: Orders hubs that reach one file: the least comes first.
+HUB_ORDER = ("out_degree", "node_seq")
+
+
+def feature_hubs(graph: CodeGraph, min_out_degree: int = 5, detect: Callable[[CodeGraph], DataFrame] | None = None, edges: DataFrame | None = None) -> DataFrame:
+    """(path, label, out_degree, node_seq) of files, neither tests nor barrels, with so many internal imports, highest first.
+
+    `detect` gives the hubs (path) instead; `edges` are the graph's, if they are there already.
+    """
+    degrees = (_edges(graph) if edges is None else edges).groupBy("src").agg(F.count("*").alias("out_degree")).withColumnRenamed("src", "path")
+    nodes = graph.nodes.select("path", "node_seq", "category")
+    if detect is not None:
+        found = nodes.join(detect(graph).select("path").distinct(), "path", "left_semi").join(degrees, "path", "left").withColumn("out_degree", F.coalesce("out_degree", F.lit(0)))
+    else:
+        found = degrees.where(F.col("out_degree") >= min_out_degree).join(nodes.where("category not in ('test', 'barrel')"), "path")
+    return found.select("path", hub_label(F.col("path")).alias("label"), "out_degree", "node_seq").orderBy(F.desc("out_degree"), "node_seq")
+
+
+def _assigned(graph: CodeGraph, edges: DataFrame, hubs: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+    number, edges = _numbered(graph, edges)
+    found = reach(edges, hubs.select(F.col("node_seq").alias("source"), F.col("node_seq").alias("node"))).where("depth > 0").select("source", "node")
+    ranked = hubs.select(F.col("node_seq").alias("source"), F.col("path").alias("hub"), F.struct(*order).alias("rank"))
+    best = found.join(ranked, "source").groupBy("node").agg(F.min_by("hub", "rank").alias("hub"))
+    return best.join(number, "node").select("path", "hub").join(hubs.select("path"), "path", "left_anti")
 
 
-def feature_assignment(graph: CodeGraph, min_out_degree: int = 5) -> DataFrame:
-    """(path, hub): each file that hubs reach goes to the one with the least out-degree, ties to the first."""
-    hubs = feature_hubs(graph, min_out_degree)
-    found = reach(_edges(graph), hubs.select(F.col("path").alias("source"), F.col("path").alias("node"))).where("depth > 0")
-    best = found.join(hubs.select(F.col("path").alias("source"), "out_degree", "node_seq"), "source").groupBy("node").agg(F.min_by("source", F.struct("out_degree", "node_seq")).alias("hub"))
-    return best.select(F.col("node").alias("path"), "hub").join(hubs.select("path"), "path", "left_anti")
+def feature_assignment(graph: CodeGraph, min_out_degree: int = 5, detect: Callable[[CodeGraph], DataFrame] | None = None, order: Sequence[Column | str] = HUB_ORDER) -> DataFrame:
+    """(path, hub): each file that hubs reach goes to the one with the least out-degree, ties to the first, or the least by `order`."""
+    edges = cut(_edges(graph))
+    return _assigned(graph, edges, cut(feature_hubs(graph, min_out_degree, detect, edges)), order)
 
 
-def feature_domains(graph: CodeGraph, min_out_degree: int = 5) -> tuple[DataFrame, DataFrame]:
+def feature_domains(graph: CodeGraph, min_out_degree: int = 5, detect: Callable[[CodeGraph], DataFrame] | None = None, order: Sequence[Column | str] = HUB_ORDER) -> tuple[DataFrame, DataFrame]:
     """Domains (label, hub, files), of hubs with one label the last; and the files of no hub (path)."""
-    hubs, own = feature_hubs(graph, min_out_degree), feature_assignment(graph, min_out_degree)
+    edges = cut(_edges(graph))
+    hubs = cut(feature_hubs(graph, min_out_degree, detect, edges))
+    own = cut(_assigned(graph, edges, hubs, order))
     files = own.groupBy("hub").agg(F.array_sort(F.collect_list("path")).alias("files"))
     last = hubs.groupBy("label").agg(F.max_by("path", "node_seq").alias("hub"))
     domains = last.join(files, "hub", "left").select("label", "hub", F.coalesce("files", F.array().cast("array<string>")).alias("files"))
@@ -179,10 +288,10 @@ def role(path: Column, category: Column) -> Column:
     return out.otherwise("other")
 
 
-def responsibility(graph: CodeGraph, min_out_degree: int = 5) -> DataFrame:
+def responsibility(graph: CodeGraph, min_out_degree: int = 5, detect: Callable[[CodeGraph], DataFrame] | None = None, order: Sequence[Column | str] = HUB_ORDER) -> DataFrame:
     """(path, role, exports, hub) of every file."""
     names = graph.exports.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("exp_seq", "name"))).alias("e")).select("path", F.col("e.name").alias("exports"))
-    return graph.nodes.select("path", role(F.col("path"), F.col("category")).alias("role")).join(names, "path", "left").join(feature_assignment(graph, min_out_degree), "path", "left").select("path", "role", F.coalesce("exports", F.array().cast("array<string>")).alias("exports"), "hub")
+    return graph.nodes.select("path", role(F.col("path"), F.col("category")).alias("role")).join(names, "path", "left").join(feature_assignment(graph, min_out_degree, detect, order), "path", "left").select("path", "role", F.coalesce("exports", F.array().cast("array<string>")).alias("exports"), "hub")
 
 
 def export_kind(signature: Column) -> Column:
@@ -194,52 +303,83 @@ def export_kind(signature: Column) -> Column:
     return out.when(s.rlike(r"^(\(|async |function )") | s.contains("=>"), "function").otherwise("unknown")
 
 
-def _check_entries(graph: CodeGraph, entries: list[str]) -> None:
-    if not entries:
+def _entries(graph: CodeGraph, entries: list[str] | DataFrame) -> DataFrame:
+    """(path, rank) of the entry points, a list in its order or a frame with path in node order; an unknown one is refused."""
+    if not isinstance(entries, DataFrame):
+        if not entries:
+            raise ValueError("an API surface needs an entry point")
+        entries = graph.spark.createDataFrame(list(enumerate(dict.fromkeys(entries))), "rank LONG, path STRING")
+    elif "rank" not in entries.columns:
+        entries = entries.select("path").join(graph.nodes.select("path", F.col("node_seq").alias("rank")), "path", "left")
+    entries = cut(entries.select("path", "rank").distinct())
+    missing = entries.join(graph.nodes, "path", "left_anti").first()
+    if missing is not None:
+        raise ValueError(f"no such entry point in the graph: {missing.path}")
+    if entries.isEmpty():
         raise ValueError("an API surface needs an entry point")
-    known = {r.path for r in graph.nodes.where(F.col("path").isin(entries)).select("path").collect()}
-    if missing := [e for e in entries if e not in known]:
-        raise ValueError(f"no such entry point in the graph: {missing[0]}")
+    return entries
 
 
-def accessible_names(graph: CodeGraph, entries: list[str]) -> DataFrame:
-    """(name) of what the entry points export, directly and by re-export; wildcards are followed on."""
+def detect_entry_points(graph: CodeGraph, root: str) -> list[str]:
+    """Files of the graph that the project's package.json publishes, in its order; else the usual index file, or nothing."""
+    groups = [*public_entries(root), [[x] for x in ("src/index.ts", "src/index.js", "index.ts", "index.js")]]
+    # a manifest's few names: what of them is in the graph is all that comes to the driver
+    asked = sorted({c for group in groups for names in group for c in names})
+    there = {r.path for r in graph.nodes.where(F.col("path").isin(asked)).select("path").collect()}
+    for group in groups[:-1]:
+        found = list(dict.fromkeys(hit for names in group if (hit := next((c for c in names if c in there), None))))
+        if found:
+            return found
+    return next(([names[0]] for names in groups[-1] if names[0] in there), [])
+
+
+def _accessible(graph: CodeGraph, seeds: DataFrame) -> DataFrame:
     re_exports = graph.imports.where("type = 're-export' and not coalesce(is_external, false) and to_path <> ''")
     wild = F.coalesce(F.size("symbols"), F.lit(0)) <= 0
     wild = wild | F.coalesce(F.array_contains("symbols", "*"), F.lit(False))
-    through = reach(re_exports.where(wild).select(F.col("path").alias("src"), F.col("to_path").alias("dst")), _seeds(graph, entries))
+    through = reach(re_exports.where(wild).select(F.col("path").alias("src"), F.col("to_path").alias("dst")), seeds)
     seen = through.select(F.col("node").alias("path"))
     own = graph.exports.join(seen, "path", "left_semi").select("name")
     named = re_exports.where(~wild).join(seen, "path", "left_semi").select(F.explode("symbols").alias("name"))
     return own.union(named).distinct()
 
 
-def api_partitions(graph: CodeGraph, entries: list[str]) -> DataFrame:
+def accessible_names(graph: CodeGraph, entries: list[str] | DataFrame) -> DataFrame:
+    """(name) of what the entry points export, directly and by re-export; wildcards are followed on."""
+    return _accessible(graph, _entries(graph, entries).select(F.col("path").alias("node")))
+
+
+def _partitions(graph: CodeGraph, entries: DataFrame, found: DataFrame) -> DataFrame:
+    marked = graph.nodes.join(found.select("path", F.lit(True).alias("reached")), "path", "left").join(entries.select("path", F.lit(True).alias("is_entry")), "path", "left")
+    part = F.when(F.col("is_entry"), "entry").when(F.col("reached") & (F.col("category") != "test"), "internal").when(F.col("reached"), "reachable-test").when(F.col("category") == "test", "test").otherwise("unreachable")
+    return marked.select("path", part.alias("part"))
+
+
+def api_partitions(graph: CodeGraph, entries: list[str] | DataFrame) -> DataFrame:
     """(path, part) of every file: entry, internal, unreachable or test; a reachable test is "reachable-test"."""
-    _check_entries(graph, entries)
-    found = reach(_edges(graph), _seeds(graph, entries)).select(F.col("node").alias("path"), F.lit(True).alias("reached"))
-    part = F.when(F.col("path").isin(entries), "entry").when(F.col("reached") & (F.col("category") != "test"), "internal").when(F.col("reached"), "reachable-test").when(F.col("category") == "test", "test").otherwise("unreachable")
-    return graph.nodes.join(found, "path", "left").select("path", part.alias("part"))
+    entries = _entries(graph, entries)
+    return _partitions(graph, entries, reach(_edges(graph), entries.select(F.col("path").alias("node"))).withColumnRenamed("node", "path"))
 
 
-def api_surface(graph: CodeGraph, entries: list[str]) -> tuple[DataFrame, DataFrame]:
+def api_surface(graph: CodeGraph, entries: list[str] | DataFrame) -> tuple[DataFrame, DataFrame]:
     """Public exports (name, defined_in, kind, doc, signature) by name, and the partition of the files.
 
     A name's definition outside the entry points is the last one with a signature or doc in a file that is no
     barrel, else the first; files go by distance, then node_seq.
     """
-    _check_entries(graph, entries)
-    found = reach(_edges(graph), _seeds(graph, entries)).withColumnRenamed("node", "path")
+    entries = _entries(graph, entries)
+    seeds = entries.select(F.col("path").alias("node"))
+    found = reach(_edges(graph), seeds).withColumnRenamed("node", "path")
     order = F.struct("depth", "node_seq", "exp_seq")
     concrete = (F.coalesce(F.length("signature"), F.lit(0)) + F.coalesce(F.length("doc"), F.lit(0)) > 0) & (F.col("category") != "barrel")
     value = F.struct("path", "doc", "signature")
-    defined = graph.exports.join(found.where(~F.col("path").isin(entries)), "path").join(graph.nodes.select("path", "node_seq", "category"), "path").groupBy("name").agg(F.max_by(value, F.when(concrete, order)).alias("best"), F.min_by(value, order).alias("first")).select("name", F.coalesce("best", "first").alias("d"))
-    rank = F.array_position(F.array(*[F.lit(e) for e in entries]), F.col("path"))
-    own = graph.exports.where(F.col("path").isin(entries)).groupBy("name").agg(F.min_by(value, F.struct(rank, "exp_seq")).alias("own"))
+    defined = graph.exports.join(found.join(entries, "path", "left_anti"), "path").join(graph.nodes.select("path", "node_seq", "category"), "path").groupBy("name").agg(F.max_by(value, F.when(concrete, order)).alias("best"), F.min_by(value, order).alias("first")).select("name", F.coalesce("best", "first").alias("d"))
+    own = graph.exports.join(entries, "path").groupBy("name").agg(F.min_by(value, F.struct("rank", "exp_seq")).alias("own"))
     pick = F.coalesce("d", "own")
-    public = accessible_names(graph, entries).join(defined, "name", "left").join(own, "name", "left")
-    public = public.select("name", F.coalesce(pick["path"], F.lit(entries[0])).alias("defined_in"), export_kind(pick["signature"]).alias("kind"), pick["doc"].alias("doc"), pick["signature"].alias("signature"))
-    return public.orderBy(F.collate("name", "UNICODE")), api_partitions(graph, entries)
+    first = entries.orderBy("rank", "path").first().path
+    public = _accessible(graph, seeds).join(defined, "name", "left").join(own, "name", "left")
+    public = public.select("name", F.coalesce(pick["path"], F.lit(first)).alias("defined_in"), export_kind(pick["signature"]).alias("kind"), pick["doc"].alias("doc"), pick["signature"].alias("signature"))
+    return public.orderBy(F.collate("name", "UNICODE")), _partitions(graph, entries, found)
 
 
 def type_nodes(graph: CodeGraph) -> DataFrame:
@@ -294,17 +434,17 @@ def _change_reach(graph: CodeGraph, files: list[str], hubs: DataFrame) -> DataFr
     return reach(_reverse(_edges(graph)), _seeds(graph, files), stop=hubs.select(F.col("path").alias("node"))).withColumnRenamed("node", "path")
 
 
-def propose_tags(graph: CodeGraph, files: list[str], min_out_degree: int = 5) -> DataFrame:
+def propose_tags(graph: CodeGraph, files: list[str], min_out_degree: int = 5, identify: Callable[[DataFrame], Column] | None = None) -> DataFrame:
     """(tag): labels of the hubs that the changes reach or are, and the tags of the tests they reach before a hub."""
-    hubs = feature_hubs(graph, min_out_degree)
+    hubs = cut(feature_hubs(graph, min_out_degree))
     found = _change_reach(graph, files, hubs)
     tests = found.where("depth > 0").join(hubs.select("path"), "path", "left_anti").select("path")
-    tags = graph.tags.join(tests, "path", "left_semi").join(is_test(graph), "path", "left_semi").select(F.col("name").alias("tag"))
+    tags = graph.tags.join(tests, "path", "left_semi").join(is_test(graph, identify), "path", "left_semi").select(F.col("name").alias("tag"))
     return hubs.join(found, "path", "left_semi").select(F.col("label").alias("tag")).union(tags).distinct()
 
 
-def affected_tests(graph: CodeGraph, files: list[str], min_out_degree: int = 5) -> DataFrame:
+def affected_tests(graph: CodeGraph, files: list[str], min_out_degree: int = 5, identify: Callable[[DataFrame], Column] | None = None) -> DataFrame:
     """(path) of the tests that the changes reach without passing a hub; a hub itself doesn't count."""
-    hubs = feature_hubs(graph, min_out_degree)
+    hubs = cut(feature_hubs(graph, min_out_degree))
     found = _change_reach(graph, files, hubs).where("depth > 0").join(hubs.select("path"), "path", "left_anti")
-    return found.select("path").join(is_test(graph), "path", "left_semi").distinct()
+    return found.select("path").join(is_test(graph, identify), "path", "left_semi").distinct()

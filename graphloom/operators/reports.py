@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.enrich import churn
-from graphloom.operators.graph import CALL_TYPES
+from graphloom.operators.graph import CALL_TYPES, cycles, unused_files
 from graphloom.plans.model import CodeGraph
 from graphloom.plans.traverse import reach
 
@@ -95,14 +97,18 @@ def glob_pattern(glob: str) -> str:
     return f"^{out}$"
 
 
-def owner_packages(graph: CodeGraph, packages: DataFrame) -> DataFrame:
-    """(path, name): the first package (pkg_seq, name, relative_root) whose root a path lies under."""
-    root = F.col("relative_root")
+def owners(files: DataFrame, packages: DataFrame) -> DataFrame:
+    """(path, name): the first package (pkg_seq, name, relative_root) whose root a path of `files` lies under."""
     # equi-join on every ancestor folder of a path instead of comparing each path with each root
     parts = F.split("path", "/")
     folders = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat_ws("/", F.slice(parts, 1, i)))
-    above = graph.nodes.select("path", F.explode(folders).alias("root"))
-    return above.join(packages.select("pkg_seq", "name", root.alias("root")), "root").groupBy("path").agg(F.min_by("name", "pkg_seq").alias("name"))
+    above = files.select("path", F.explode(folders).alias("root"))
+    return above.join(packages.select("pkg_seq", "name", F.col("relative_root").alias("root")), "root").groupBy("path").agg(F.min_by("name", "pkg_seq").alias("name"))
+
+
+def owner_packages(graph: CodeGraph, packages: DataFrame) -> DataFrame:
+    """(path, name) of the files that lie in a package."""
+    return owners(graph.nodes, packages)
 
 
 def package_dependencies(graph: CodeGraph) -> DataFrame:
@@ -122,9 +128,9 @@ def affected_across_packages(graph: CodeGraph, file: str) -> DataFrame:
 
 
 def workspace_summary(graph: CodeGraph) -> DataFrame:
-    """(package, files, depends_on): every package with its number of files and the packages it imports."""
+    """(package, files, depends_on): every package with its number of files and the packages it imports; null for files of none."""
     deps = package_dependencies(graph).groupBy("package").agg(F.array_sort(F.collect_set("depends_on")).alias("depends_on"))
-    return graph.nodes.groupBy("package").agg(F.count("*").alias("files")).join(deps, "package", "left").select("package", "files", F.coalesce("depends_on", F.array().cast("array<string>")).alias("depends_on"))
+    return graph.nodes.groupBy("package").agg(F.count("*").alias("files")).join(deps.withColumnRenamed("package", "importer"), F.col("package").eqNullSafe(F.col("importer")), "left").select("package", "files", F.coalesce("depends_on", F.array().cast("array<string>")).alias("depends_on"))
 
 
 def mermaid_lines(graph: CodeGraph) -> DataFrame:
@@ -140,8 +146,51 @@ def mermaid(graph: CodeGraph) -> str:
     return "\n".join(["graph TD", *sorted(r.line for r in mermaid_lines(graph).collect())])
 
 
+Exporter = Callable[[CodeGraph], str]
+EXPORTERS: dict[str, Exporter] = {"mermaid": mermaid}
+
+
+def export(graph: CodeGraph, to: str | Exporter = "mermaid") -> str:
+    """The graph as text, by a known exporter or one of the caller's own."""
+    return (EXPORTERS[to] if isinstance(to, str) else to)(graph)
+
+
 def to_json_lines(graph: CodeGraph) -> DataFrame:
-    """(json): every file with its imports, exports and tags nested again."""
+    """(json): every file with its imports, exports and tags nested again, sorted inside by their numbers or names."""
     nest = lambda df, by, name, *cols: df.groupBy("path").agg(F.array_sort(F.collect_list(F.struct(by, *cols))).alias(name))
     out = graph.nodes.join(nest(graph.imports, "edge_seq", "imports", "to_path", "type", "symbols", "is_external"), "path", "left").join(nest(graph.exports, "exp_seq", "exports", "name", "signature"), "path", "left").join(nest(graph.tags, "name", "tags", "kind"), "path", "left")
     return out.select(F.to_json(F.struct(*out.columns)).alias("json"))
+
+
+def document(graph: CodeGraph, slim_nodes: bool = False) -> DataFrame:
+    """(part, json): the JSON output row by row; part is node, cycle or language, and there are no cycle rows without cycles."""
+    nodes = slim(graph) if slim_nodes else None
+    rows = nodes.select(F.to_json(F.struct(*nodes.columns)).alias("json")) if slim_nodes else to_json_lines(graph)
+    languages = language_coverage(graph)
+    part = lambda df, name: df.select(F.lit(name).alias("part"), "json")
+    return part(rows, "node").union(part(cycles(graph).select(F.to_json("cycle").alias("json")), "cycle")).union(part(languages.select(F.to_json(F.struct(*languages.columns)).alias("json")), "language"))
+
+
+def with_meta(graph: CodeGraph, found: DataFrame, column: str = "path") -> DataFrame:
+    """`found` with category and exports of the file in `column`, both null for one outside the graph."""
+    names = graph.exports.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("exp_seq", "name"))).alias("e"))
+    meta = graph.nodes.join(names, "path", "left").select(F.col("path").alias(column), "category", F.coalesce(F.col("e.name"), F.array().cast("array<string>")).alias("exports"))
+    return found.join(meta, column, "left")
+
+
+def unused(graph: CodeGraph, files: DataFrame, exclude_tests: bool = False) -> DataFrame:
+    """Files on disk (path) that aren't in the graph, on request without tests and stories."""
+    found = unused_files(graph, files)
+    return found.where(~is_test_path(F.col("path"), stories=True)) if exclude_tests else found
+
+
+class NoCoverage(LookupError):
+    """The graph has no coverage at all, so nothing can be said about what isn't covered."""
+
+
+def find_uncovered(graph: CodeGraph, threshold: float | None = None, config: dict | None = None) -> DataFrame:
+    """`uncovered` by the given threshold, the configured one ("coverageThreshold") or 80; raises without any coverage."""
+    if graph.nodes.where("coverage_pct is not null").isEmpty():
+        raise NoCoverage("no coverage data: load a report with enrich.with_coverage first")
+    configured = (config or {}).get("coverageThreshold")
+    return uncovered(graph, threshold if threshold is not None else configured if configured is not None else 80)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.classify import DEFAULT, STYLE_EXTENSIONS, ClassifyConfig
 from graphloom.functions.parse import Parser, parse_table
 from graphloom.operators.enrich import package_of
-from graphloom.operators.reports import is_test_path
+from graphloom.operators.reports import is_test_path, owners
 from graphloom.plans.model import CodeGraph
 from graphloom.plans.session import cut
 from graphloom.plans.traverse import reach
@@ -32,7 +33,15 @@ class BuildOptions:
     packages: DataFrame | None = None
     lock: DataFrame | None = None
     go_module: str | None = None
+    #: Go module prefix -> folder that stands for it; wins over go_module, the longest prefix first.
+    go_replaces: dict[str, str] = field(default_factory=dict)
+    #: Folder from which bare specifiers of scripts are tried; tsconfig's baseUrl.
+    base_url: str | None = None
+    #: Aliases below path_aliases; tsconfig's paths, relative to the root.
+    ts_paths: dict[str, list[str]] = field(default_factory=dict)
     parsers: dict[str, Parser] = field(default_factory=dict)
+    #: (asked, files) -> rows of asked's columns and to_path that win over the rules here.
+    resolver: Callable[[DataFrame, DataFrame], DataFrame] | None = None
 
 
 def normalize(path: Column) -> Column:
@@ -60,12 +69,15 @@ def _candidates(edges: DataFrame, options: BuildOptions) -> DataFrame:
     partial = F.regexp_replace(spec, r"([^/]+)$", "_$1")
     bases = bases.when(kind == "style", F.array(here(spec), here(partial)))
     aliases = F.array().cast("array<string>")
-    for alias, targets in options.path_aliases.items():
+    for alias, targets in [*options.path_aliases.items(), *options.ts_paths.items()]:
         star = alias.rstrip("*")
         hit = spec.startswith(star) if alias.endswith("*") else spec == alias
         to = F.array(*[F.concat(F.lit(t.rstrip("*")), F.substr(spec, F.lit(len(star) + 1))) if t.endswith("*") else F.lit(t) for t in targets])
         aliases = F.concat(aliases, F.when(hit, to).otherwise(F.array().cast("array<string>")))
     bases = F.concat(aliases, F.coalesce(bases, F.array(spec)))
+    if options.base_url is not None:
+        under = F.concat_ws("/", F.lit(options.base_url.strip("./") or "."), spec)
+        bases = F.concat(bases, F.when((kind == "script") & ~relative, F.array(under)).otherwise(F.array().cast("array<string>")))
     probe = F.lit(None).cast("array<string>")
     for name, tails in PROBES.items():
         probe = F.when(kind == name, F.array(*[F.lit(t) for t in tails])).otherwise(probe)
@@ -82,21 +94,41 @@ def resolve(edges: DataFrame, files: DataFrame, options: BuildOptions = BuildOpt
     """
     key = ["folder", "bucket", "specifier", "is_style"]
     asked = edges.select(*key).distinct()
-    known = files.select(F.col("path").alias("candidate")).distinct()
-    found = _candidates(asked.where("bucket <> 'go' or specifier like '.%'"), options).join(known, "candidate").groupBy(*key).agg(F.min_by("candidate", "priority").alias("to_path"))
     none = F.lit(None).cast("string")
-    local = found.select(*key, "to_path", F.lit(False).alias("is_external"), none.alias("workspace_package"))
-    if options.go_module:
-        module = options.go_module.rstrip("/")
+    answer = lambda df, package=none: df.select(*key, "to_path", F.lit(False).alias("is_external"), package.alias("workspace_package"))
+    without = lambda df, found: df.join(found.select(*key).distinct(), key, "left_anti")
+    known = files.select(F.col("path").alias("candidate")).distinct()
+    best = lambda df, *more: df.join(known, "candidate").groupBy(*key).agg(F.min_by("candidate", "priority").alias("to_path"), *[F.first(m).alias(m) for m in more])
+    rest, local = asked, answer(asked.limit(0).withColumn("to_path", none))
+    if options.resolver is not None:
+        own = cut(options.resolver(asked, files).select(*key, "to_path"))
+        local, rest = answer(own), without(asked, own)
+    found = best(_candidates(rest.where("bucket <> 'go' or specifier like '.%'"), options))
+    local = local.unionByName(answer(found))
+    if options.go_module or options.go_replaces:
         folder = F.regexp_replace("path", r"/?[^/]*$", "")
-        go = files.where("path like '%.go' and path not like '%\\_test.go'").select(F.col("path").alias("to_path"), F.concat_ws("/", F.lit(module), F.when(folder != "", folder)).alias("specifier"))
-        local = local.unionByName(asked.where("bucket = 'go'").join(go, "specifier").select(*key, "to_path", F.lit(False).alias("is_external"), none.alias("workspace_package")))
-    rest = asked.join(local.select(*key).distinct(), key, "left_anti").where("specifier not like '.%'")
+        go_files = files.where("path like '%.go' and path not like '%\\_test.go'").select(F.col("path").alias("to_path"), folder.alias("go_folder"))
+        inside = F.lit(None).cast("string")
+        under = lambda module, to: F.when(F.col("specifier") == module, F.lit(to)).when(F.col("specifier").startswith(module + "/"), F.concat_ws("/", F.when(F.lit(to) != "", F.lit(to)), F.substr("specifier", F.lit(len(module) + 2))))
+        if options.go_module:
+            module = options.go_module.rstrip("/")
+            # the module itself is no package of its own
+            inside = F.when(F.col("specifier") != module, under(module, ""))
+        for module, to in sorted(options.go_replaces.items(), key=lambda x: len(x[0])):
+            inside = F.coalesce(under(module, to.removeprefix("./").strip("/")), inside)
+        go = rest.where("bucket = 'go'").withColumn("go_folder", inside).join(go_files, "go_folder")
+        local = local.unionByName(answer(go))
+    rest = without(rest, local).where("specifier not like '.%'")
     if options.packages is not None:
-        entry = options.packages.where(F.size("entry_points") > 0).select(F.col("name").alias("package_name"), F.col("entry_points")[0].alias("to_path"))
-        hit = rest.withColumn("package_name", package_of(F.col("specifier"))).join(entry, "package_name").select(*key, "to_path", F.lit(False).alias("is_external"), F.col("package_name").alias("workspace_package"))
-        local = local.unionByName(hit)
-        rest = rest.join(hit.select(*key), key, "left_anti")
+        named = options.packages.select(F.col("name").alias("package_name"), "relative_root", F.get("entry_points", F.lit(0)).alias("entry"))
+        hit = rest.withColumn("package_name", package_of(F.col("specifier"))).join(named, "package_name")
+        exact = hit.where("specifier = package_name and entry is not null").select(*key, F.col("entry").alias("to_path"), "package_name")
+        deep = F.substr("specifier", F.length("package_name") + 2)
+        inner = F.when(F.col("specifier") == F.col("package_name"), F.array(F.lit("src/index"), F.lit("index"))).otherwise(F.array(deep, F.concat(F.lit("src/"), deep)))
+        probes = F.array(*[F.lit(t) for t in PROBES["script"]])
+        tried = hit.where("not (specifier = package_name and entry is not null)").select(*key, "package_name", F.posexplode(F.flatten(F.transform(inner, lambda x: F.transform(probes, lambda t: F.concat("relative_root", F.lit("/"), x, t))))).alias("priority", "candidate"))
+        exact = cut(exact.unionByName(best(tried, "package_name").select(*exact.columns)))
+        local, rest = local.unionByName(answer(exact, F.col("package_name"))), without(rest, exact)
     return local.unionByName(rest.select(*key, F.col("specifier").alias("to_path"), F.lit(True).alias("is_external"), none.alias("workspace_package")))
 
 
@@ -119,8 +151,11 @@ def assemble(parsed: DataFrame, options: BuildOptions = BuildOptions()) -> CodeG
     calls = base.select("path", "folder", "bucket", F.posexplode("calls").alias("call_seq", "c")).select("path", "folder", "bucket", "call_seq", "c.*").withColumn("is_style", F.lit(False))
     calls = calls.join(found.where("not is_external"), key).select("path", "call_seq", "from_fn", "to_fn", F.col("to_path").alias("to_file"))
     child = lambda name, seq: parsed.select("path", F.posexplode(name).alias(seq, "x")).select("path", seq, "x.*")
-    package = F.lit(None).cast("string")
-    nodes = parsed.select(F.xxhash64("path").alias("node_seq"), "path", "type", "category", "mtime", "size", "description", F.lit(None).cast("double").alias("coverage_pct"), "complexity", "cognitive", package.alias("package"))
+    if options.packages is not None:
+        owned = parsed.join(owners(parsed, options.packages).withColumnRenamed("name", "package"), "path", "left")
+    else:
+        owned = parsed.withColumn("package", F.lit(None).cast("string"))
+    nodes = owned.select(F.xxhash64("path").alias("node_seq"), "path", "type", "category", "mtime", "size", "description", F.lit(None).cast("double").alias("coverage_pct"), "complexity", "cognitive", "package")
     return CodeGraph(nodes, imports.select("path", "edge_seq", "to_path", "raw_specifier", "type", "is_style", "symbols", "is_external", "version", "is_workspace", "workspace_package"), child("exports", "exp_seq"), child("tags", "tag_seq"), child("functions", "fn_seq"), calls)
 
 
@@ -137,7 +172,8 @@ def number_nodes(nodes: DataFrame) -> DataFrame:
 def build(files: DataFrame, entries: list[str] | None = None, options: BuildOptions = BuildOptions(), before: DataFrame | None = None) -> CodeGraph:
     """Parses files (path, mtime, size, content) and keeps what the entry points, tests and documents reach.
 
-    Without entry points all files stay.  `before` holds parsed rows of the last build: files whose mtime
+    Tests are those below the folder that all entry points share, and those in a folder tests, test, __tests__,
+    specs or spec beside it.  Without entry points all files stay.  `before` holds parsed rows of the last build: files whose mtime
     and size are the same aren't parsed again.
     """
     if before is not None:
@@ -156,9 +192,26 @@ def build(files: DataFrame, entries: list[str] | None = None, options: BuildOpti
         if len(set(parts)) > 1:
             break
         above = f"{above}{parts[0]}/" if parts[0] else above
-    tests = is_test_path(F.col("path")) & (F.col("path").startswith(above) | F.col("path").rlike(r"(^|/)(tests?|__tests__|specs?)/"))
+    beside = above.rstrip("/").rsplit("/", 1)[0] + "/" if "/" in above.rstrip("/") else ""
+    where = F.col("path").startswith(above)
+    for name in ("tests", "test", "__tests__", "specs", "spec"):
+        where = where | F.col("path").startswith(f"{beside}{name}/")
+    tests = is_test_path(F.col("path")) & where
     seeds = graph.nodes.where(F.col("path").isin(entries) | tests | F.col("path").rlike(r"\.mdx?$")).select(F.col("path").alias("node"))
     inner = graph.imports.where("not is_external").select(F.col("path").alias("src"), F.col("to_path").alias("dst"))
     kept = cut(reach(inner, seeds).select(F.col("node").alias("path")))
     keep = lambda df: df.join(kept, "path", "left_semi")
     return CodeGraph(keep(graph.nodes), keep(graph.imports), keep(graph.exports), keep(graph.tags), keep(graph.functions), keep(graph.calls), graph.commits)
+
+
+def build_workspace(files: DataFrame, packages: DataFrame, only: list[str] | None = None, options: BuildOptions = BuildOptions(), before: DataFrame | None = None) -> CodeGraph:
+    """One graph over the packages (pkg_seq, name, relative_root, entry_points) with `package` of every file.
+
+    Imports resolve against all packages.  `only` keeps the packages named by name or root: what their own entry
+    points reach.  A package without entry points has no files; a file that several reach belongs to its owner.
+    """
+    options = replace(options, packages=packages)
+    wanted = packages if only is None else packages.where(F.col("name").isin(only) | F.col("relative_root").isin(only))
+    # a row a package: small, as a workspace lists them by hand
+    entries = [e for r in wanted.select("entry_points").collect() for e in r.entry_points or []]
+    return build(files, entries, options, before)

@@ -185,7 +185,7 @@ def prepared(graph: CodeGraph, query: NodeQuery) -> tuple[DataFrame, dict]:
         nodes = nodes.join(graph.imports.groupBy("path").agg(*aggregates), "path", "left")
     importers = [F.max(F.col("path").contains(v)).alias(f"by_{i}") for (k, v), i in number.items() if k == "importedby"]
     if importers:
-        nodes = nodes.join(graph.imports.where("to_path <> ''").groupBy(F.col("to_path").alias("__to")).agg(*importers), nodes.path == F.col("__to"), "left").drop("__to")
+        nodes = nodes.join(graph.imports.where("to_path <> ''").groupBy("to_path").agg(*importers).withColumnRenamed("to_path", "path"), "path", "left")
     if any(p.tags or p.all_tags for p in parts):
         nodes = nodes.join(graph.tags.groupBy("path").agg(F.collect_set("name").alias("tag_names")), "path", "left")
     return nodes, number
@@ -221,4 +221,10 @@ def run(graph: CodeGraph, query: NodeQuery | str) -> tuple[DataFrame, DataFrame]
     return nodes, imports
 
 
+def trim_cycles(cycles: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The cycles (cycle) of a graph whose members all matched."""
+    lost = cycles.select("cycle", F.explode("cycle").alias("path")).join(nodes.select("path"), "path", "left_anti").select("cycle").distinct()
+    return cycles.join(lost, "cycle", "left_anti")
+
+
 assert {f.name for f in fields(NodeQuery)} >= set(KEYS)

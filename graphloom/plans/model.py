@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from graphloom.plans.session import delete, exists
+
 DDL = {
     "nodes": "node_seq BIGINT, path STRING, type STRING, category STRING, mtime DOUBLE, size BIGINT, description STRING, coverage_pct DOUBLE, complexity INT, cognitive INT, package STRING",
     "imports": "path STRING, edge_seq INT, to_path STRING, raw_specifier STRING, type STRING, is_style BOOLEAN, symbols ARRAY<STRING>, is_external BOOLEAN, version STRING, is_workspace BOOLEAN, workspace_package STRING",
@@ -58,11 +60,14 @@ class CodeGraph:
         return cls(**made, commits=commits)
 
     def write(self, folder: str) -> None:
-        """Parquet, one table a folder."""
+        """Parquet, one table a folder; a graph without commits leaves none there."""
         for name in [*DDL, "commits"]:
             if getattr(self, name) is not None:
                 getattr(self, name).write.mode("overwrite").parquet(f"{folder}/{name}")
+            else:
+                delete(self.spark, f"{folder}/{name}")
 
     @classmethod
     def read(cls, spark: SparkSession, folder: str) -> CodeGraph:
-        return cls(**{name: spark.read.parquet(f"{folder}/{name}") for name in DDL})
+        tables = {name: spark.read.parquet(f"{folder}/{name}") for name in DDL}
+        return cls(**tables, commits=spark.read.parquet(f"{folder}/commits") if exists(spark, f"{folder}/commits") else None)

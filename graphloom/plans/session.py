@@ -29,6 +29,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _path(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is something at the path, on whatever file system it names."""
+    fs, where = _path(spark, path)
+    return fs.exists(where)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, where = _path(spark, path)
+    fs.delete(where, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the Python workers where they wouldn't find it by their path or folder."""
     package = Path(__file__).resolve().parent.parent

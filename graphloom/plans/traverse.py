@@ -10,38 +10,41 @@ from pyspark.sql import functions as F
 from graphloom.plans.session import cut
 
 
-def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, stop: DataFrame | None = None, hops: int = 3) -> DataFrame:
+#: Layers of found nodes up to which each is kept in its own checkpoint; beyond, they are put together.
+LAYERS = 8
+
+
+def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, stop: DataFrame | None = None, hops: int = 4) -> DataFrame:
     """(node, depth), or (source, node, depth) if the seeds have a source; seeds are at depth 0.
 
     `edges` has src and dst, `seeds` node.  Nodes of `stop` (node) are reached but not gone on from, unless
-    they are seeds.  Each round walks up to `hops` edges and is kept by a checkpoint; the frontier is joined
-    with the edges, so the engine broadcasts it while its measured size allows.
+    they are seeds.  Each round walks up to `hops` edges and writes only what it found to a checkpoint of its own;
+    what was found before is read, never written again.  The frontier is joined with the edges, so the engine
+    broadcasts it while its measured size allows.
     """
     key = [c for c in ("source", "node") if c in seeds.columns]
     edges = cut(edges.select("src", "dst").where("src is not null and dst is not null and src <> dst").distinct())
-    onward = edges if stop is None else edges.join(stop.select(F.col("node").alias("src")).distinct(), "src", "left_anti")
-    if stop is not None:
-        onward = cut(onward)
-    visited = cut(seeds.select(*key).where("node is not null").distinct().withColumn("depth", F.lit(0)))
-    frontier, depth = visited, 0
+    onward = edges if stop is None else cut(edges.join(stop.select(F.col("node").alias("src")).distinct(), "src", "left_anti"))
+    layers = [cut(seeds.select(*key).where("node is not null").distinct().withColumn("depth", F.lit(0)))]
+    frontier, depth = layers[0], 0
     while max_depth is None or depth < max_depth:
         steps = hops if max_depth is None else min(hops, max_depth - depth)
-        layers, last = [], frontier.select(*key)
+        walked, last = [], frontier.select(*key)
         for i in range(steps):
             over = edges if depth + i == 0 else onward
             last = last.join(over, last.node == over.src).select(*[c for c in key if c != "node"], F.col("dst").alias("node")).distinct()
-            layers.append(last.withColumn("depth", F.lit(depth + i + 1)))
-        new = reduce(DataFrame.unionByName, layers).groupBy(*key).agg(F.min("depth").alias("depth"))
-        new = cut(new.join(visited.select(*key), key, "left_anti"))
-        if new.isEmpty():
-            break
+            walked.append(last.withColumn("depth", F.lit(depth + i + 1)))
+        new = reduce(DataFrame.unionByName, walked).groupBy(*key).agg(F.min("depth").alias("depth"))
+        seen = reduce(DataFrame.unionByName, layers).select(*key)
+        layers.append(cut(new.join(seen, key, "left_anti")))
         # a node found at the last of these hops is the frontier; those before have been walked on from
         depth += steps
-        frontier = new.where(F.col("depth") == depth)
-        visited = cut(visited.unionByName(new))
+        frontier = layers[-1].where(F.col("depth") == depth)
         if frontier.isEmpty():
             break
-    return visited
+        if len(layers) > LAYERS:
+            layers = [cut(reduce(DataFrame.unionByName, layers))]
+    return reduce(DataFrame.unionByName, layers)
 
 
 def all_pairs(edges: DataFrame, nodes: DataFrame, max_depth: int | None = None) -> DataFrame:

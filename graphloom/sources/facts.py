@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import subprocess
+from collections.abc import Callable
 from fnmatch import fnmatch
 from pathlib import Path
 
@@ -21,17 +22,21 @@ def _git(root: str, *args: str) -> str:
         return ""
 
 
-def changed_files(spark: SparkSession, root: str, base: str | None = None) -> DataFrame:
+#: (root, arguments) -> output of the git command, "" if it fails; a caller may bring another.
+GitProvider = Callable[..., str]
+
+
+def changed_files(spark: SparkSession, root: str, base: str | None = None, git: GitProvider = _git) -> DataFrame:
     """(path): unstaged, staged, untracked and, with a base, committed changes; a failing command adds nothing."""
-    out = [*(_git(root, *command.split()) for command in ("diff --name-only", "diff --name-only --cached", "ls-files --exclude-standard --others"))]
+    out = [*(git(root, *command.split()) for command in ("diff --name-only", "diff --name-only --cached", "ls-files --exclude-standard --others"))]
     if base:
-        out.append(_git(root, "diff", "--name-only", f"{base}...HEAD"))
+        out.append(git(root, "diff", "--name-only", f"{base}...HEAD"))
     names = sorted({line for text in out for line in text.splitlines() if line})
     return spark.createDataFrame([(n,) for n in names], "path STRING")
 
 
-def git_log(root: str) -> str:
-    return _git(root, *"log -M --name-status --format=%x00%H%x09%ae%x09%ct".split())
+def git_log(root: str, git: GitProvider = _git) -> str:
+    return git(root, *"log -M --name-status --format=%x00%H%x09%ae%x09%ct".split())
 
 
 def commits_of(log: DataFrame) -> DataFrame:
@@ -159,6 +164,60 @@ def entry_points(folder: str) -> list[str]:
     return []
 
 
+def public_entries(root: str) -> list[list[list[str]]]:
+    """Groups of published files, each with the paths it may have (dist is looked for in src): the exports map, then main and module.
+
+    An export with conditions counts once, by import, require or default, whichever leads somewhere first.
+    """
+    manifest = _manifest(Path(root))
+
+    def paths(value) -> list[str]:
+        if isinstance(value, str):
+            name = value.removeprefix("./")
+            return [name, re.sub(r"\.(?:js|mjs|cjs)$", ".ts", re.sub(r"^dist/", "src/", name))]
+        return [p for k in ("import", "require", "default") for p in paths(value.get(k))] if isinstance(value, dict) else []
+
+    exports = manifest.get("exports")
+    published = list(exports.values()) if isinstance(exports, dict) else [exports]
+    return [[p for x in published if (p := paths(x))], [p for k in ("main", "module") if (p := paths(manifest.get(k)))]]
+
+
+def read_tsconfig(root: str, folders: tuple[str, ...] = ("",)) -> tuple[str | None, dict[str, list[str]]]:
+    """(base_url, ts_paths) for `BuildOptions` from the first tsconfig.json in the folders; comments and trailing commas are allowed."""
+    for folder in folders:
+        path = Path(root, folder, "tsconfig.json")
+        if not path.is_file():
+            continue
+        text = re.sub(r'("(?:\\.|[^"\\])*")|//[^\n]*|/\*.*?\*/', lambda m: m.group(1) or "", path.read_text(), flags=re.S)
+        try:
+            options = json.loads(re.sub(r",(\s*[}\]])", r"\1", text)).get("compilerOptions", {})
+        except ValueError:
+            return None, {}
+        join = lambda x: "/".join(p for p in f"{folder}/{x}".split("/") if p not in ("", "."))
+        base = options.get("baseUrl")
+        paths = {a: [join(f"{base or '.'}/{t}") for t in ts] for a, ts in (options.get("paths") or {}).items()}
+        return None if base is None else join(base) or ".", paths
+    return None, {}
+
+
+def parse_go_mod(text: str) -> tuple[str | None, dict[str, str]]:
+    """(module, replaces) for `BuildOptions`: only replacements by a local folder count."""
+    module, replaces, block = None, {}, False
+    for raw in text.splitlines():
+        line = raw.split("//")[0].strip()
+        if line.startswith("module "):
+            module = line[7:].strip()
+        elif re.match(r"replace\s*\(", line):
+            block = True
+        elif block and line == ")":
+            block = False
+        elif "=>" in line and (block or re.match(r"replace\s", line)):
+            a, b = (x.strip() for x in re.sub(r"^replace\s+", "", line).split("=>", 1))
+            if a and b.startswith((".", "/")):
+                replaces[a.split()[0]] = b
+    return module, replaces
+
+
 def _npm(root: Path) -> list[str] | None:
     w = _manifest(root).get("workspaces")
     return w.get("packages") if isinstance(w, dict) else w
