@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from graphloom.functions.classify import file_type
 
@@ -68,6 +69,22 @@ def token_table(files: DataFrame, ignore_literals: bool = True) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "family STRING, file STRING, pos INT, text STRING, line INT")
 
 
+def cached_tokens(files: DataFrame, before: DataFrame | None, ignore_literals: bool = True) -> DataFrame:
+    """(family, file, pos, text, line, mtime, size, ignore_literals) of files (path, mtime, size, content).
+
+    Tokens of `before`, such a table of an earlier scan, are taken over for files whose time, size and setting are
+    the same; the others are read anew, and files that are gone drop out.  Write it as Parquet to keep it.
+    """
+    stamp = files.select(F.col("path").alias("file"), "mtime", "size")
+    key = ["file", "mtime", "size"]
+    fresh = files
+    if before is not None:
+        same = before.where(F.col("ignore_literals") == ignore_literals).join(stamp, key, "left_semi")
+        fresh = files.join(same.select(F.col("file").alias("path")).distinct(), "path", "left_anti")
+    new = token_table(fresh, ignore_literals).join(stamp, "file").withColumn("ignore_literals", F.lit(ignore_literals))
+    return new if before is None else new.unionByName(same.select(new.columns))
+
+
 def rule_blocks(text: str, file: str = "") -> list[dict]:
     """Rules with declarations: place, lines and ordered signature; nested rules are rules of their own."""
     text = re.sub(r"/\*.*?\*/|(?<![:\w])//[^\n]*", lambda m: re.sub(r"[^\n]", " ", m.group()), text, flags=re.S)

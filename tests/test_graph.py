@@ -4,6 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom.functions.tokens import cached_tokens
 from graphloom.operators import apply_tags, duplicates, enrich, graph, reports
 from graphloom.plans import dsl
 from graphloom.plans.model import CodeGraph
@@ -139,17 +140,36 @@ def maximal(streams, width):
     return out
 
 
-def test_repeats_match_brute_force():
+def test_repeats_match_brute_force(spark):
     rng = random.Random(1)
-    for _ in range(500):
-        width = rng.randint(2, 4)
-        streams = {f"f{i}": [rng.choice("abcd") for _ in range(rng.randint(5, 19))] for i in range(rng.randint(2, 4))}
-        grams = {}
-        for f, s in streams.items():
-            for i in range(len(s) - width + 1):
-                grams.setdefault(tuple(s[i : i + width]), []).append((f, i))
-        got = {(n, tuple(sorted(own))) for places in grams.values() if len(places) > 1 for n, own in duplicates.repeats_of(places, streams, width)}
-        assert got == maximal(streams, width)
+    for width in (2, 3, 4):
+        trials = {f"t{k}": {f"f{i}": [rng.choice("abcd" if k % 3 else "ab") for _ in range(rng.randint(5, 19))] for i in range(rng.randint(2, 4))} for k in range(200)}
+        for k in range(0, 200, 7):  # copies, whole and with an end of their own
+            trials[f"t{k}"] |= {"g0": trials[f"t{k}"]["f0"], "g1": trials[f"t{k}"]["f0"][:-2], "g2": ["d", *trials[f"t{k}"]["f0"]]}
+        rows = [(t, f, i, x, 1) for t, streams in trials.items() for f, s in streams.items() for i, x in enumerate(s)]
+        tokens = spark.createDataFrame(rows, "family STRING, file STRING, pos INT, text STRING, line INT")
+        got = {}
+        for r in duplicates.maximal_repeats(tokens, width).collect():
+            got.setdefault(r.family, set()).add((r.tokens, tuple((p.file, p.pos) for p in r.places)))
+        assert got == {t: want for t, streams in trials.items() if (want := maximal(streams, width))}
+
+
+def test_find_duplicates_and_token_cache(spark):
+    code = "\n".join(f"let v{i} = call(a{i}, {i});" for i in range(8))
+    rule = ".x {\n" + "\n".join(f" p{i}: {i}px;" for i in range(6)) + "\n}\n"
+    rows = [("a.ts", code), ("lib/b.ts", code + "\nend()"), ("vendor/c.ts", code), ("package-lock.json", code), ("s.css", rule + ".y { z: 1 }"), ("t.scss", rule), ("u.styl", code)]
+    files = spark.createDataFrame([(p, 1.0, len(t), t) for p, t in rows], "path STRING, mtime DOUBLE, size INT, content STRING")
+    found = [(r.family, r.lines, sorted(o.file for o in r.occurrences)) for r in duplicates.find_duplicates(files, ignore_dirs=("vendor",)).collect()]
+    assert found[0] == ("code", 8, ["a.ts", "lib/b.ts"]) and ("style", 7, ["s.css", "t.scss"]) in found
+    assert not {f for *_, files in found for f in files} & {"package-lock.json", "u.styl", "vendor/c.ts"} and [n for _, n, _ in found] == sorted((n for _, n, _ in found), reverse=True)
+    first = cached_tokens(files, None)
+    marked = first.withColumn("text", F.when(F.col("file") == "a.ts", F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    changed = files.where("path <> 'u.styl'").withColumn("mtime", F.when(F.col("path") == "lib/b.ts", 2.0).otherwise(F.col("mtime")))
+    again = cached_tokens(changed, marked)
+    assert {r.file for r in again.select("file").distinct().collect()} == {"a.ts", "lib/b.ts", "vendor/c.ts"}
+    assert again.where("file = 'a.ts' and text like '%!'").count() == first.where("file = 'a.ts'").count() and again.where("file = 'lib/b.ts' and mtime = 2.0").count() > 0
+    assert cached_tokens(files, marked, ignore_literals=False).where("text like '%!'").count() == 0
+    assert duplicates.find_duplicates(files, cache=first, ignore_dirs=("vendor",)).count() == len(found)
 
 
 def test_token_duplicates(spark):
