@@ -5,12 +5,17 @@ The graph is the projection of `plans.virtual`; every query runs over all of it.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.parse import parse_table
+from graphloom.functions.tokens import block_table
 from graphloom.operators import duplicates, enrich, graph, reports
 from graphloom.plans import dsl
+from graphloom.plans.build import BuildOptions, build
+from graphloom.plans.session import cut, shared_dir
 from graphloom.plans.virtual import load, with_views
 from graphloom.streaming import watch
 
@@ -28,11 +33,24 @@ def _add(name: str, sql: str | None = None, views: tuple[str, ...] = (), ctes: s
     return register
 
 
-def _path(spark: SparkSession, sf_dir: str, seq: int) -> str:
-    return load(spark, sf_dir).nodes.where(F.col("node_seq") == seq).first().path
+def _most(df: DataFrame, column: str) -> str:
+    """The most frequent value, the least of several: where the questions about one file begin."""
+    return df.groupBy(column).count().orderBy(F.desc("count"), column).first()[0]
+
+
+_TOP = "(SELECT {1} FROM {0} GROUP BY {1} ORDER BY count(*) DESC, {1} LIMIT 1)".format
+#: The file that imports most, the one that is imported most, and the files with most outgoing and incoming calls.
+_OUT, _IN, _CALLER, _CALLED = _TOP("e", "src"), _TOP("e", "dst"), _TOP("v_calls", "path"), _TOP("v_calls", "to_file")
+
+
+def _importer(g) -> str:
+    return _most(g.internal(), "src")
+
+
+def _imported(g) -> str:
+    return _most(g.internal(), "dst")
 
 
-_P = "(SELECT path FROM v_nodes WHERE node_seq = {})".format
 _INT = "e AS (SELECT path AS src, to_path AS dst, edge_seq, symbol, type FROM v_imports WHERE NOT is_external)"
 
 
@@ -125,59 +143,93 @@ def slim_projection(spark, sf_dir):
 # ---- one hop and reachability
 
 
-@_add("dependencies_d1", f"SELECT dst AS path, 1 AS depth, symbol FROM e WHERE src = {_P(0)} AND dst <> src", ("v_nodes", "v_imports"), _INT)
+@_add("dependencies_d1", f"SELECT dst AS path, 1 AS depth, symbol FROM e WHERE src = {_OUT} AND dst <> src", ("v_nodes", "v_imports"), _INT)
 def dependencies_d1(spark, sf_dir):
-    return graph.dependencies(load(spark, sf_dir), _path(spark, sf_dir, 0)).select("path", "depth", F.get("symbols", F.lit(0)).alias("symbol"))
+    g = load(spark, sf_dir)
+    return graph.dependencies(g, _importer(g)).select("path", "depth", F.get("symbols", F.lit(0)).alias("symbol"))
+
 
+_FOUND = f"{_INT}, b AS (SELECT {_OUT} AS node, 0 AS depth UNION SELECT e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.node WHERE b.depth < 3), f AS (SELECT node, CAST(min(depth) AS INT) AS depth FROM b GROUP BY node)"
 
-@_add("dependencies_d3", "SELECT node AS path, CAST(min(depth) AS INT) AS depth FROM b GROUP BY node HAVING min(depth) > 0", ("v_nodes", "v_imports"), f"{_INT}, b AS (SELECT path AS node, 0 AS depth FROM v_nodes WHERE node_seq = 0 UNION SELECT e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.node WHERE b.depth < 3)")
+
+@_add("dependencies_d3", "SELECT x.node AS path, x.depth, min_by(struct_pack(s := e.symbol), row(n.node_seq, e.edge_seq)).s AS symbol FROM f x JOIN f y ON y.depth = x.depth - 1 JOIN e ON e.src = y.node AND e.dst = x.node JOIN v_nodes n ON n.path = y.node GROUP BY x.node, x.depth", ("v_nodes", "v_imports"), _FOUND)
 def dependencies_d3(spark, sf_dir):
-    return graph.dependencies(load(spark, sf_dir), _path(spark, sf_dir, 0), 3).select("path", "depth")
+    g = load(spark, sf_dir)
+    return graph.dependencies(g, _importer(g), 3).select("path", "depth", F.get("symbols", F.lit(0)).alias("symbol"))
 
 
-@_add("dependents", f"SELECT src AS path, symbol FROM e WHERE dst = {_P(8)} AND src <> dst", ("v_nodes", "v_imports"), _INT)
+@_add("dependents", f"SELECT src AS path, symbol FROM e WHERE dst = {_IN} AND src <> dst", ("v_nodes", "v_imports"), _INT)
 def dependents(spark, sf_dir):
-    return graph.dependents(load(spark, sf_dir), _path(spark, sf_dir, 8)).select("path", F.get("symbols", F.lit(0)).alias("symbol"))
+    g = load(spark, sf_dir)
+    return graph.dependents(g, _imported(g)).select("path", F.get("symbols", F.lit(0)).alias("symbol"))
+
+
+@_add("dependents_with_meta", f"SELECT e.src AS path, n.category, CAST(coalesce(x.c, 0) AS BIGINT) AS n_exports FROM e JOIN v_nodes n ON n.path = e.src LEFT JOIN (SELECT path, count(*) AS c FROM v_exports GROUP BY path) x ON x.path = e.src WHERE e.dst = {_IN} AND e.src <> e.dst", ("v_nodes", "v_imports", "v_exports"), _INT)
+def dependents_with_meta(spark, sf_dir):
+    g = load(spark, sf_dir)
+    return reports.with_meta(g, graph.dependents(g, _imported(g))).select("path", "category", F.size("exports").cast("bigint").alias("n_exports"))
 
 
-_BACK = f"{_INT}, b AS (SELECT path AS node FROM v_nodes WHERE node_seq = 8 UNION SELECT e.src FROM b JOIN e ON e.dst = b.node)"
+_BACK = f"{_INT}, b AS (SELECT {_IN} AS node UNION SELECT e.src FROM b JOIN e ON e.dst = b.node)"
 _TESTS = "path IN (SELECT path FROM v_nodes WHERE category = 'test' UNION SELECT path FROM v_tags WHERE name = 'test')"
 
 
-@_add("affected", f"SELECT node AS path FROM b WHERE node <> {_P(8)}", ("v_nodes", "v_imports"), _BACK)
+@_add("affected", f"SELECT node AS path FROM b WHERE node <> {_IN}", ("v_nodes", "v_imports"), _BACK)
 def affected(spark, sf_dir):
-    return graph.affected(load(spark, sf_dir), _path(spark, sf_dir, 8)).select("path")
+    g = load(spark, sf_dir)
+    return graph.affected(g, _imported(g)).select("path")
 
 
-@_add("affected_tests_only", f"SELECT path FROM (SELECT node AS path FROM b WHERE node <> {_P(8)}) WHERE {_TESTS}", ("v_nodes", "v_imports", "v_tags"), _BACK)
+@_add("affected_tests_only", f"SELECT path FROM (SELECT node AS path FROM b WHERE node <> {_IN}) WHERE {_TESTS}", ("v_nodes", "v_imports", "v_tags"), _BACK)
 def affected_tests_only(spark, sf_dir):
-    return graph.affected(load(spark, sf_dir), _path(spark, sf_dir, 8), tests_only=True).select("path")
+    g = load(spark, sf_dir)
+    return graph.affected(g, _imported(g), tests_only=True).select("path")
 
 
-@_add("affected_symbols", f"SELECT node AS path FROM b WHERE node <> {_P(8)}", ("v_nodes", "v_imports"), f"{_INT}, b AS (SELECT src AS node FROM e WHERE dst = {_P(8)} AND (symbol IS NULL OR symbol IN ('default', '*', 's3', 's7')) UNION SELECT e.src FROM b JOIN e ON e.dst = b.node)")
+_SYMBOL = f"(SELECT min(symbol) FROM e WHERE dst = {_IN})"
+
+
+@_add("affected_symbols", f"SELECT node AS path FROM b WHERE node <> {_IN}", ("v_nodes", "v_imports"), f"{_INT}, b AS (SELECT src AS node FROM e WHERE dst = {_IN} AND (symbol IS NULL OR symbol IN ('default', '*', {_SYMBOL})) UNION SELECT e.src FROM b JOIN e ON e.dst = b.node)")
 def affected_symbols(spark, sf_dir):
-    return graph.affected(load(spark, sf_dir), _path(spark, sf_dir, 8), changed_symbols=["s3", "s7"]).select("path")
+    g = load(spark, sf_dir)
+    file = _imported(g)
+    symbol = g.internal().where(F.col("dst") == file).select(F.explode("symbols").alias("s")).agg(F.min("s")).first()[0]
+    return graph.affected(g, file, changed_symbols=[symbol] if symbol else []).select("path")
+
 
+@_add("impact_lookup", f"SELECT node AS path FROM b WHERE node <> {_IN}", ("v_nodes", "v_imports"), _BACK)
+def impact_lookup(spark, sf_dir):
+    """Every file's blast radius is written to the shared folder, read back, found current and asked for one file."""
+    g, folder = load(spark, sf_dir), f"{shared_dir(spark)}/graphloom-impact-{uuid.uuid4().hex}"
+    graph.build_impact(g).save(folder)
+    kept = graph.load_impact(spark, folder)
+    if not kept.is_current(g):
+        raise RuntimeError("the graph didn't change")
+    return kept.lookup(_imported(g))
 
-@_add("reachable_files", f"SELECT node AS path FROM b", ("v_nodes", "v_imports"), f"{_INT}, b AS (SELECT path AS node FROM v_nodes WHERE node_seq = 0 UNION SELECT e.dst FROM b JOIN e ON e.src = b.node)")
+
+@_add("reachable_files", f"SELECT node AS path FROM b", ("v_nodes", "v_imports"), f"{_INT}, b AS (SELECT {_OUT} AS node UNION SELECT e.dst FROM b JOIN e ON e.src = b.node)")
 def reachable_files(spark, sf_dir):
     g = load(spark, sf_dir)
-    return graph.reach(graph._edges(g), graph._seeds(g, _path(spark, sf_dir, 0))).select(F.col("node").alias("path"))
+    return graph.reach(graph._edges(g), graph._seeds(g, _importer(g))).select(F.col("node").alias("path"))
 
 
-@_add("callers", f"SELECT path, depth, n_edges FROM (SELECT node AS path, CAST(min(depth) AS INT) AS depth FROM b GROUP BY node HAVING min(depth) > 0) LEFT JOIN (SELECT path, count(*) AS n_edges FROM v_calls WHERE to_file = {_P(8)} GROUP BY path) USING (path)", ("v_nodes", "v_calls"), "b AS (SELECT path AS node, 0 AS depth FROM v_nodes WHERE node_seq = 8 UNION SELECT c.path, b.depth + 1 FROM b JOIN v_calls c ON c.to_file = b.node WHERE b.depth < 2)")
+@_add("callers", f"SELECT path, depth, n_edges FROM (SELECT node AS path, CAST(min(depth) AS INT) AS depth FROM b GROUP BY node HAVING min(depth) > 0) LEFT JOIN (SELECT path, count(*) AS n_edges FROM v_calls WHERE to_file = {_CALLED} GROUP BY path) USING (path)", ("v_nodes", "v_calls"), f"b AS (SELECT {_CALLED} AS node, 0 AS depth UNION SELECT c.path, b.depth + 1 FROM b JOIN v_calls c ON c.to_file = b.node WHERE b.depth < 2)")
 def callers(spark, sf_dir):
-    return graph.callers(load(spark, sf_dir), _path(spark, sf_dir, 8), 2).select("path", "depth", F.when(F.col("edges").isNotNull(), F.size("edges").cast("bigint")).alias("n_edges"))
+    g = load(spark, sf_dir)
+    return graph.callers(g, _most(g.calls, "to_file"), 2).select("path", "depth", F.when(F.col("edges").isNotNull(), F.size("edges").cast("bigint")).alias("n_edges"))
 
 
-@_add("neighbours", f"SELECT n.path, n.type, n.category FROM e JOIN v_nodes n ON n.path = e.dst WHERE e.src = {_P(0)}", ("v_nodes", "v_imports"), _INT)
+@_add("neighbours", f"SELECT n.path, n.type, n.category FROM e JOIN v_nodes n ON n.path = e.dst WHERE e.src = {_OUT}", ("v_nodes", "v_imports"), _INT)
 def neighbours(spark, sf_dir):
-    return graph.neighbours(load(spark, sf_dir), _path(spark, sf_dir, 0)).select("path", "type", "category")
+    g = load(spark, sf_dir)
+    return graph.neighbours(g, _importer(g)).select("path", "type", "category")
 
 
-@_add("call_edges", f"SELECT from_fn, to_fn, to_file FROM v_calls WHERE path = {_P(0)}", ("v_nodes", "v_calls"))
+@_add("call_edges", f"SELECT from_fn, to_fn, to_file FROM v_calls WHERE path = {_CALLER}", ("v_nodes", "v_calls"))
 def call_edges(spark, sf_dir):
-    return graph.call_edges(load(spark, sf_dir), _path(spark, sf_dir, 0))
+    g = load(spark, sf_dir)
+    return graph.call_edges(g, _most(g.calls, "path")).select("from_fn", "to_fn", "to_file")
 
 
 @_add("impact_all_pairs", "SELECT src AS path, node AS affected FROM b WHERE src <> node", ("v_nodes", "v_imports"), f"{_INT}, b AS (SELECT DISTINCT dst AS src, src AS node FROM e UNION SELECT b.src, e.src FROM b JOIN e ON e.dst = b.node)")
@@ -243,12 +295,12 @@ def responsibility_roles(spark, sf_dir):
     return graph.responsibility(load(spark, sf_dir)).select("path", "role", F.size("exports").cast("bigint").alias("n_exports"), "hub")
 
 
-_ENTRY = "category = 'barrel' AND node_seq % 100 = 1"
+_ENTRY = "category = 'barrel'"
 _API = f"{_INT}, en AS (SELECT path FROM v_nodes WHERE {_ENTRY}), b AS (SELECT path AS node FROM en UNION SELECT e.dst FROM b JOIN e ON e.src = b.node)"
 
 
-def _entries(g) -> list[str]:
-    return [r.path for r in g.nodes.where(_ENTRY).orderBy("node_seq").select("path").collect()]
+def _entries(g) -> DataFrame:
+    return g.nodes.where(_ENTRY).select("path")
 
 
 @_add("api_accessible_names", "SELECT DISTINCT name FROM (SELECT name FROM v_exports WHERE path IN (SELECT node FROM w) UNION ALL SELECT symbol FROM e WHERE type = 're-export' AND symbol IS NOT NULL AND src IN (SELECT node FROM w))", ("v_nodes", "v_imports", "v_exports"), f"{_INT}, w AS (SELECT path AS node FROM v_nodes WHERE {_ENTRY} UNION SELECT e.dst FROM w JOIN e ON e.src = w.node WHERE e.type = 're-export' AND e.symbol IS NULL)")
@@ -263,10 +315,20 @@ def api_partitions(spark, sf_dir):
     return graph.api_partitions(g, _entries(g))
 
 
-@_add("api_public_exports")
+_DEPTHS = "dp(path, depth) USING KEY (path) AS (SELECT path, 0 FROM v_nodes WHERE " + _ENTRY + " UNION SELECT e.dst, dp.depth + 1 FROM dp JOIN e ON e.src = dp.path WHERE NOT EXISTS (SELECT 1 FROM recurring.dp r WHERE r.path = e.dst))"
+_ACCESSIBLE = f"w AS (SELECT path AS node FROM v_nodes WHERE {_ENTRY} UNION SELECT e.dst FROM w JOIN e ON e.src = w.node WHERE e.type = 're-export' AND e.symbol IS NULL), acc AS (SELECT DISTINCT name FROM (SELECT name FROM v_exports WHERE path IN (SELECT node FROM w) UNION ALL SELECT symbol FROM e WHERE type = 're-export' AND symbol IS NOT NULL AND src IN (SELECT node FROM w)))"
+_DEFINED = (
+    f"xs AS (SELECT x.name, x.path, x.signature, row(dp.depth, n.node_seq, x.exp_seq) AS o, x.signature <> '' AND n.category <> 'barrel' AS concrete FROM v_exports x JOIN dp ON dp.path = x.path JOIN v_nodes n ON n.path = x.path WHERE dp.path NOT IN (SELECT path FROM v_nodes WHERE {_ENTRY})), "
+    "df AS (SELECT name, coalesce(arg_max(row(path, signature), o) FILTER (WHERE concrete), arg_min(row(path, signature), o)) AS d FROM xs GROUP BY name), "
+    f"ow AS (SELECT x.name, arg_min(row(x.path, x.signature), row(n.node_seq, x.exp_seq)) AS d FROM v_exports x JOIN v_nodes n ON n.path = x.path WHERE n.{_ENTRY} GROUP BY x.name), "
+    f"pb AS (SELECT acc.name, coalesce(df.d, ow.d) AS d FROM acc LEFT JOIN df ON df.name = acc.name LEFT JOIN ow ON ow.name = acc.name)"
+)
+
+
+@_add("api_public_exports", f"SELECT name, coalesce(d[1], (SELECT arg_min(path, node_seq) FROM v_nodes WHERE {_ENTRY})) AS defined_in, CASE WHEN d[2] LIKE 'interface %' THEN 'interface' WHEN d[2] LIKE 'class %' THEN 'class' WHEN d[2] LIKE 'const %' THEN 'const' ELSE 'unknown' END AS kind, d[2] AS signature FROM pb", ("v_nodes", "v_imports", "v_exports"), f"{_INT}, {_DEPTHS}, {_ACCESSIBLE}, {_DEFINED}")
 def api_public_exports(spark, sf_dir):
     g = load(spark, sf_dir)
-    return graph.api_surface(g, _entries(g))[0]
+    return graph.api_surface(g, _entries(g))[0].select("name", "defined_in", "kind", "signature")
 
 
 _KINDS = "CASE WHEN x.signature LIKE 'interface %' THEN 'interface' WHEN x.signature LIKE 'class %' THEN 'class' ELSE 'type' END"
@@ -296,9 +358,15 @@ def call_graph_callers(spark, sf_dir):
     return graph.call_graph(load(spark, sf_dir), "s5")[1]
 
 
-@_add("call_graph_callees", "SELECT to_file, to_fn FROM v_calls WHERE from_fn = 's5' AND path = (SELECT arg_max(x.path, n.node_seq) FROM v_exports x JOIN v_nodes n ON n.path = x.path WHERE x.name = 's5')", ("v_calls", "v_exports", "v_nodes"))
+_LAST = "la AS (SELECT x.name, arg_max(x.path, n.node_seq) AS path FROM v_exports x JOIN v_nodes n ON n.path = x.path GROUP BY x.name), lc AS (SELECT c.from_fn, c.path, c.to_file, c.to_fn FROM v_calls c JOIN la ON la.name = c.from_fn AND la.path = c.path)"
+
+
+@_add("call_graph_callees", f"SELECT to_file, to_fn FROM lc WHERE from_fn = {_TOP('lc', 'from_fn')}", ("v_calls", "v_exports", "v_nodes"), _LAST)
 def call_graph_callees(spark, sf_dir):
-    return graph.call_graph(load(spark, sf_dir), "s5")[2]
+    g = load(spark, sf_dir)
+    last = g.exports.join(g.nodes.select("path", "node_seq"), "path").groupBy("name").agg(F.max_by("path", "node_seq").alias("path"))
+    own = g.calls.join(last.withColumnRenamed("name", "from_fn"), ["from_fn", "path"], "left_semi")
+    return graph.call_graph(g, _most(own, "from_fn"))[2]
 
 
 @_add("find_symbol", "SELECT n.path, n.category, 'call' AS precision, c.path AS user, c.from_fn AS via FROM v_exports x JOIN v_nodes n ON n.path = x.path LEFT JOIN v_calls c ON c.to_fn = 's5' WHERE x.name = 's5' AND n.type IN ('typescript', 'javascript', 'go', 'python') UNION ALL SELECT n.path, n.category, 'file-level', e.src, NULL FROM v_exports x JOIN v_nodes n ON n.path = x.path LEFT JOIN e ON e.dst = n.path AND e.src <> e.dst WHERE x.name = 's5' AND n.type NOT IN ('typescript', 'javascript', 'go', 'python')", ("v_nodes", "v_exports", "v_calls", "v_imports"), _INT)
@@ -412,9 +480,10 @@ def workspace_summary(spark, sf_dir):
     return reports.workspace_summary(load(spark, sf_dir)).select("package", "files", F.concat_ws(" ", "depends_on").alias("depends_on"))
 
 
-@_add("workspace_affected", f"SELECT node AS path FROM b WHERE node <> {_P(8)} UNION SELECT i.path FROM v_imports i JOIN v_nodes n ON n.path = i.path WHERE i.is_workspace AND i.workspace_package = (SELECT package FROM v_nodes WHERE node_seq = 8) AND n.package <> i.workspace_package", ("v_nodes", "v_imports"), f"{_INT}, ie AS (SELECT e.src, e.dst FROM e JOIN v_nodes a ON a.path = e.src JOIN v_nodes b ON b.path = e.dst WHERE a.package = b.package), b AS (SELECT path AS node FROM v_nodes WHERE node_seq = 8 UNION SELECT ie.src FROM b JOIN ie ON ie.dst = b.node)")
+@_add("workspace_affected", f"SELECT node AS path FROM b WHERE node <> {_IN} UNION SELECT i.path FROM v_imports i JOIN v_nodes n ON n.path = i.path WHERE i.is_workspace AND i.workspace_package = (SELECT package FROM v_nodes WHERE path = {_IN}) AND n.package <> i.workspace_package", ("v_nodes", "v_imports"), f"{_INT}, ie AS (SELECT e.src, e.dst FROM e JOIN v_nodes a ON a.path = e.src JOIN v_nodes b ON b.path = e.dst WHERE a.package = b.package), b AS (SELECT {_IN} AS node UNION SELECT ie.src FROM b JOIN ie ON ie.dst = b.node)")
 def workspace_affected(spark, sf_dir):
-    return reports.affected_across_packages(load(spark, sf_dir), _path(spark, sf_dir, 8))
+    g = load(spark, sf_dir)
+    return reports.affected_across_packages(g, _imported(g))
 
 
 @_add("package_owner", "SELECT n.path, lower(n.package) AS name FROM v_nodes n", ("v_nodes",))
@@ -429,9 +498,17 @@ def mermaid_lines(spark, sf_dir):
     return reports.mermaid_lines(load(spark, sf_dir))
 
 
-@_add("json_graph")
+@_add("json_graph", "SELECT n.path, n.type, n.category, n.size, coalesce((SELECT string_agg(to_path, ' ' ORDER BY edge_seq) FROM v_imports i WHERE i.path = n.path), '') AS imports, coalesce((SELECT string_agg(name, ' ' ORDER BY exp_seq) FROM v_exports x WHERE x.path = n.path), '') AS exports, coalesce((SELECT string_agg(concat(name, ':', kind), ' ' ORDER BY name, kind) FROM v_tags t WHERE t.path = n.path), '') AS tags FROM v_nodes n", ("v_nodes", "v_imports", "v_exports", "v_tags"))
 def json_graph(spark, sf_dir):
-    return reports.to_json_lines(load(spark, sf_dir))
+    """The JSON lines, read back."""
+    schema = "path STRING, type STRING, category STRING, size BIGINT, imports ARRAY<STRUCT<to_path: STRING>>, exports ARRAY<STRUCT<name: STRING>>, tags ARRAY<STRUCT<name: STRING, kind: STRING>>"
+    j = reports.to_json_lines(load(spark, sf_dir)).select(F.from_json("json", schema).alias("j")).select("j.*")
+    return j.select("path", "type", "category", "size", F.concat_ws(" ", "imports.to_path").alias("imports"), F.concat_ws(" ", "exports.name").alias("exports"), F.concat_ws(" ", F.transform("tags", lambda t: F.concat(t["name"], F.lit(":"), t["kind"]))).alias("tags"))
+
+
+@_add("json_document", "SELECT 'node' AS part, count(*) AS n FROM v_nodes UNION ALL SELECT 'language', count(DISTINCT type) FROM v_nodes", ("v_nodes",))
+def json_document(spark, sf_dir):
+    return reports.document(load(spark, sf_dir), slim_nodes=True).where("part <> 'cycle'").groupBy("part").agg(F.count("*").alias("n"))
 
 
 @_add("page_links", "SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS target FROM pages")
@@ -450,6 +527,81 @@ def parsed_imports(spark, sf_dir):
     return parse_table(files).select("path", F.explode("imports").alias("i")).select("path", "i.specifier", F.col("i.type").alias("import_type"))
 
 
+_N = "CAST(node_seq AS STRING)"
+_BODY = (
+    f"CASE type WHEN 'python' THEN concat('# @tag t', CAST(node_seq % 5 AS STRING), '\\nfrom .m import g\\ndef f', {_N}, '(a):\\n    if a and a > 1:\\n        return g(a)\\n    return 2\\n') "
+    f"WHEN 'go' THEN concat('// @tag t', CAST(node_seq % 5 AS STRING), '\\npackage a\\nfunc F', {_N}, '(a int) int {{\\n\\tif a > 0 && a < 9 {{\\n\\t\\treturn 1\\n\\t}}\\n\\treturn 2\\n}}\\n') "
+    f"WHEN 'typescript' THEN concat('// @tag t', CAST(node_seq % 5 AS STRING), '\\nimport {{ g }} from \"./m\";\\nexport function f', {_N}, '(a: number) {{\\n  if (a && a > 1) {{ return g(a); }}\\n  return 2;\\n}}\\n') "
+    f"WHEN 'javascript' THEN concat('// @tag t', CAST(node_seq % 5 AS STRING), '\\nimport {{ g }} from \"./m\";\\nexport const f', {_N}, ' = (a) => {{\\n  if (a && a > 1) {{ return g(a); }}\\n  return 2;\\n}};\\n') "
+    "ELSE '' END"
+).replace("{{", "{").replace("}}", "}")
+_CODED = "type IN ('python', 'go', 'typescript', 'javascript')"
+_FN = f"concat(CASE type WHEN 'go' THEN 'F' ELSE 'f' END, {_N})"
+
+
+def _bodies(spark, sf_dir) -> DataFrame:
+    """A file made up for every node, parsed by its language's parser."""
+    return parse_table(load(spark, sf_dir).nodes.select("path", "mtime", "size", F.expr(_BODY).alias("content")))
+
+
+@_add("parsed_functions", f"SELECT path, {_FN} AS name, 3 AS complexity, 2 AS cognitive FROM v_nodes WHERE {_CODED}", ("v_nodes",))
+def parsed_functions(spark, sf_dir):
+    return _bodies(spark, sf_dir).select("path", F.explode("functions").alias("f")).select("path", "f.name", "f.complexity", "f.cognitive")
+
+
+@_add("parsed_exports", f"SELECT path, {_FN} AS name FROM v_nodes WHERE {_CODED}", ("v_nodes",))
+def parsed_exports(spark, sf_dir):
+    return _bodies(spark, sf_dir).select("path", F.explode("exports").alias("x")).select("path", "x.name")
+
+
+@_add("parsed_tags", f"SELECT path, concat('t', CAST(node_seq % 5 AS STRING)) AS name, 'comment-marker' AS kind FROM v_nodes WHERE {_CODED} UNION ALL SELECT path, {_FN}, 'function' FROM v_nodes WHERE type IN ('typescript', 'javascript')", ("v_nodes",))
+def parsed_tags(spark, sf_dir):
+    return _bodies(spark, sf_dir).select("path", F.explode("tags").alias("t")).select("path", "t.name", "t.kind")
+
+
+@_add("parsed_calls", f"SELECT path, {_FN} AS from_fn, 'g' AS to_fn, './m' AS specifier FROM v_nodes WHERE {_CODED} AND type <> 'go'", ("v_nodes",))
+def parsed_calls(spark, sf_dir):
+    return _bodies(spark, sf_dir).select("path", F.explode("calls").alias("c")).select("path", "c.from_fn", "c.to_fn", "c.specifier")
+
+
+# ---- builds: a monorepo written from the graph, a package a folder, and built again
+
+_SLUG = "replace(package, ' ', '-')"
+
+
+def _monorepo(spark, sf_dir):
+    g = load(spark, sf_dir)
+    slug = F.expr(_SLUG)
+    own = g.nodes.select("path", "node_seq", slug.alias("pkg"))
+    to = own.select(F.col("path").alias("dst"), F.col("node_seq").alias("to_seq"), F.col("pkg").alias("to_pkg"))
+    line = F.when(F.col("pkg") == F.col("to_pkg"), F.concat(F.lit('import { x } from "./f'), F.col("to_seq").cast("string"), F.lit('";'))).otherwise(F.concat(F.lit('import { x } from "@o/'), F.col("to_pkg"), F.lit('/src/f'), F.col("to_seq").cast("string"), F.lit('";')))
+    edges = g.internal().select(F.col("src").alias("path"), "dst").join(own, "path").join(to, "dst")
+    text = edges.groupBy("node_seq").agg(F.concat_ws("\n", F.array_sort(F.collect_set(line))).alias("content"))
+    files = own.join(text, "node_seq", "left").select(F.concat(F.lit("packages/"), "pkg", F.lit("/src/f"), F.col("node_seq").cast("string"), F.lit(".ts")).alias("path"), F.lit(1.0).alias("mtime"), F.lit(1).cast("bigint").alias("size"), F.concat(F.coalesce("content", F.lit("")), F.lit("\nexport const x = 1;\n")).alias("content"))
+    packages = own.groupBy("pkg").agg(F.min("node_seq").alias("s")).select(F.col("s").cast("int").alias("pkg_seq"), F.concat(F.lit("@o/"), "pkg").alias("name"), F.concat(F.lit("packages/"), "pkg").alias("relative_root"), F.array(F.concat(F.lit("packages/"), "pkg", F.lit("/src/f"), F.col("s").cast("string"), F.lit(".ts"))).alias("entry_points"))
+    return build(cut(files), options=BuildOptions(packages=cut(packages)))
+
+
+_MONO = f"{_INT}, mo AS (SELECT path, concat('packages/', {_SLUG}, '/src/f', CAST(node_seq AS STRING), '.ts') AS file, concat('@o/', {_SLUG}) AS pkg FROM v_nodes), me AS (SELECT DISTINCT a.file, a.pkg, b.file AS to_file, b.pkg AS to_pkg FROM e JOIN mo a ON a.path = e.src JOIN mo b ON b.path = e.dst)"
+
+
+@_add("built_imports", "SELECT file AS path, to_file AS to_path, pkg <> to_pkg AS is_workspace, CASE WHEN pkg <> to_pkg THEN to_pkg END AS workspace_package FROM me", ("v_nodes", "v_imports"), _MONO)
+def built_imports(spark, sf_dir):
+    return _monorepo(spark, sf_dir).imports.where("not is_external").select("path", "to_path", "is_workspace", "workspace_package")
+
+
+@_add("built_workspace_summary", "SELECT m.pkg AS package, m.n AS files, coalesce(d.deps, '') AS depends_on FROM (SELECT pkg, count(*) AS n FROM mo GROUP BY pkg) m LEFT JOIN (SELECT pkg, string_agg(DISTINCT to_pkg, ' ' ORDER BY to_pkg) AS deps FROM me WHERE pkg <> to_pkg GROUP BY pkg) d ON d.pkg = m.pkg", ("v_nodes", "v_imports"), _MONO)
+def built_workspace_summary(spark, sf_dir):
+    return reports.workspace_summary(_monorepo(spark, sf_dir)).select("package", "files", F.concat_ws(" ", "depends_on").alias("depends_on"))
+
+
+@_add("built_workspace_affected", f"SELECT node AS path FROM lb WHERE node <> (SELECT file FROM mo WHERE path = {_IN}) UNION SELECT file FROM me WHERE pkg <> to_pkg AND to_pkg = (SELECT pkg FROM mo WHERE path = {_IN})", ("v_nodes", "v_imports"), f"{_MONO}, lb AS (SELECT file AS node FROM mo WHERE path = {_IN} UNION SELECT me.file FROM lb JOIN me ON me.to_file = lb.node WHERE me.pkg = me.to_pkg)")
+def built_workspace_affected(spark, sf_dir):
+    g = load(spark, sf_dir)
+    row = g.nodes.where(F.col("path") == _imported(g)).select(F.expr(_SLUG).alias("pkg"), "node_seq").first()
+    return reports.affected_across_packages(_monorepo(spark, sf_dir), f"packages/{row.pkg}/src/f{row.node_seq}.ts")
+
+
 @_add("event_windows", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY 1, 2")
 def event_windows(spark, sf_dir):
     """The stream's event-time windows, over the table."""
@@ -460,12 +612,23 @@ def event_windows(spark, sf_dir):
 # ---- duplicates
 
 
-@_add("style_block_duplicates", "SELECT least(a.lines, b.lines) AS lines, a.signature, a.file AS file_a, b.file AS file_b FROM r a JOIN r b ON a.signature = b.signature AND a.file < b.file WHERE a.lines >= 3 AND b.lines >= 3", ("v_nodes", "v_exports"), "r AS (SELECT path AS file, string_agg(name, ';' ORDER BY exp_seq) AS signature, CAST(count(*) + 2 AS INT) AS lines FROM v_exports WHERE exp_seq < 2 AND path LIKE '%.css' GROUP BY path HAVING count(*) >= 2)")
+_RULE = "concat('/* rules */\n.c', CAST(node_seq AS STRING), ' {\n  margin: ', CAST(size AS STRING), 'px;\n  color: c', CAST(node_seq % 13 AS STRING), ';\n  top: 0\n}\n')"
+_SIGNED = "r AS (SELECT path AS file, concat('margin:', CAST(size AS STRING), 'px;color:c', CAST(node_seq % 13 AS STRING), ';top:0') AS signature FROM v_nodes WHERE type = 'css')"
+
+
+def _rules(spark, sf_dir) -> DataFrame:
+    """A style sheet made up for every css file, cut into its rules."""
+    return block_table(load(spark, sf_dir).nodes.where("type = 'css'").select("path", F.expr(_RULE).alias("content")))
+
+
+@_add("style_block_duplicates", "SELECT 5 AS lines, a.signature, a.file AS file_a, b.file AS file_b FROM r a JOIN r b ON a.signature = b.signature AND a.file < b.file", ("v_nodes",), _SIGNED)
 def style_block_duplicates(spark, sf_dir):
-    x = load(spark, sf_dir).exports.where("exp_seq < 2 and path like '%.css'")
-    blocks = x.groupBy(F.col("path").alias("file")).agg(F.array_sort(F.collect_list(F.struct("exp_seq", "name"))).alias("e"), F.count("*").alias("decl_count"))
-    blocks = blocks.select("file", F.lit(1).alias("start_line"), F.concat_ws(";", "e.name").alias("signature"), "decl_count", (F.col("decl_count") + 2).cast("int").alias("lines"))
-    return duplicates.style_duplicates(blocks, 3).select("lines", "signature", "file_a", "file_b")
+    return duplicates.style_duplicates(_rules(spark, sf_dir), 3).select("lines", "signature", "file_a", "file_b")
+
+
+@_add("style_block_groups", "SELECT signature, count(*) AS copies, string_agg(file, ' ' ORDER BY file) AS files FROM r GROUP BY signature HAVING count(*) > 1", ("v_nodes",), _SIGNED)
+def style_block_groups(spark, sf_dir):
+    return duplicates.style_groups(_rules(spark, sf_dir), 3).select("signature", "copies", F.concat_ws(" ", "occurrences.file").alias("files"))
 
 
 @_add("token_duplicates")

@@ -218,6 +218,12 @@ def parse_go_mod(text: str) -> tuple[str | None, dict[str, str]]:
     return module, replaces
 
 
+def go_module(root: str) -> tuple[str | None, dict[str, str]]:
+    """`parse_go_mod` of the root's go.mod, nothing without one."""
+    path = Path(root, "go.mod")
+    return parse_go_mod(path.read_text()) if path.is_file() else (None, {})
+
+
 def _npm(root: Path) -> list[str] | None:
     w = _manifest(root).get("workspaces")
     return w.get("packages") if isinstance(w, dict) else w
