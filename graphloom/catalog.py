@@ -16,6 +16,7 @@ from graphloom.operators import duplicates, enrich, graph, reports
 from graphloom.plans import dsl
 from graphloom.plans.build import BuildOptions, build
 from graphloom.plans.session import cut, shared_dir
+from graphloom.plans.traverse import connected
 from graphloom.plans.virtual import load, with_views
 from graphloom.streaming import watch
 
@@ -252,6 +253,15 @@ def cycles(spark, sf_dir):
     return graph.cycles(load(spark, sf_dir))
 
 
+_UND = f"{_INT}, und AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), wc(node, label) USING KEY (node) AS (SELECT path, path FROM v_nodes UNION SELECT x.dst, min(wc.label) FROM wc JOIN und x ON x.src = wc.node JOIN recurring.wc r ON r.node = x.dst WHERE wc.label < r.label GROUP BY x.dst)"
+
+
+@_add("connected_files", "SELECT node AS path, label AS component FROM wc", ("v_nodes", "v_imports"), _UND)
+def connected_files(spark, sf_dir):
+    g = load(spark, sf_dir)
+    return connected(graph._edges(g), g.nodes.select(F.col("path").alias("node"))).select(F.col("node").alias("path"), "component")
+
+
 @_add("unused_files", "SELECT path FROM (SELECT path FROM v_nodes UNION ALL SELECT concat(path, '.bak') FROM v_nodes WHERE type = 'lua') WHERE path NOT IN (SELECT path FROM v_nodes)", ("v_nodes",))
 def unused_files(spark, sf_dir):
     g = load(spark, sf_dir)

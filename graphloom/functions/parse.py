@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from graphloom.functions import parse_python, parse_script, parse_text
@@ -45,15 +45,16 @@ def parse_file(path: str, text: str, config: ClassifyConfig = DEFAULT, more: dic
 
 def parse_table(files: DataFrame, config: ClassifyConfig = DEFAULT, more: dict[str, Parser] | None = None) -> DataFrame:
     """`SCHEMA` rows of files (path, mtime, size, content): each file is parsed on its own, in Arrow batches."""
-    names = [f.name for f in StructType.fromDDL(SCHEMA)]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for path, mtime, size, content in zip(pdf["path"], pdf["mtime"], pdf["size"], pdf["content"]):
-                text = content if isinstance(content, str) else bytes(content).decode("utf-8", "replace")
-                rows.append(json.dumps({**parse_file(path, text, config, more), "path": path, "mtime": mtime, "size": size}))
-            yield pd.DataFrame({"j": rows})
-
-    parsed = files.select("path", "mtime", "size", "content").mapInPandas(run, "j STRING")
-    return parsed.select(F.from_json("j", SCHEMA).alias("r")).select(*[F.col(f"r.{n}").alias(n) for n in names])
+    schema = to_arrow_schema(StructType.fromDDL(SCHEMA))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                rows = []
+                for f in batch.slice(a, 256).to_pylist():
+                    content = f.pop("content")
+                    text = content if isinstance(content, str) else bytes(content or b"").decode("utf-8", "replace")
+                    rows.append({**parse_file(f["path"], text, config, more), **f})
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return files.select("path", F.col("mtime").cast("double"), F.col("size").cast("bigint"), "content").mapInArrow(run, SCHEMA)

@@ -52,6 +52,30 @@ def all_pairs(edges: DataFrame, nodes: DataFrame, max_depth: int | None = None)
     return reach(edges, nodes.select(F.col("node").alias("source"), "node"), max_depth).where("depth > 0")
 
 
+def connected(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(node, component) of all ends of the edges (src, dst), whatever their direction, and of `nodes` (node); the least node names it.
+
+    Large-star and small-star steps by turns: a chain of n nodes takes about log n rounds, and no node's
+    neighbours are ever gathered.
+    """
+    ends = edges.select(F.col("src").alias("node")).union(edges.select("dst"))
+    every = cut((ends if nodes is None else ends.union(nodes.select("node"))).where("node is not null").distinct())
+    links = cut(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
+    before = None
+    while True:
+        both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.toDF("u", "v"))
+        links = cut(small.where("u <> v").distinct())
+        now = tuple(links.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first())
+        if now == before:
+            break
+        before = now
+    return every.join(links, F.col("node") == F.col("u"), "left").select("node", F.coalesce("v", "node").alias("component"))
+
+
 def trim(edges: DataFrame) -> DataFrame:
     """What is left when nodes without a way in or without a way out are peeled off again and again."""
     rest = cut(edges.select("src", "dst").distinct())

@@ -8,7 +8,7 @@ from graphloom.functions.tokens import cached_tokens
 from graphloom.operators import apply_tags, duplicates, enrich, graph, reports
 from graphloom.plans import dsl
 from graphloom.plans.model import CodeGraph
-from graphloom.plans.traverse import all_pairs, reach, reference_cycles, strongly_connected
+from graphloom.plans.traverse import all_pairs, connected, reach, reference_cycles, strongly_connected
 from graphloom.plans.virtual import load
 
 
@@ -190,3 +190,20 @@ def test_glob():
 def test_virtual_graph_counts(spark):
     g = load(spark, "/root/testdata/sf0.001")
     assert g.nodes.count() == 200 and g.imports.count() == 266 and g.imports.where("is_external").count() == 24
+
+
+def test_connected(spark):
+    rng = random.Random(3)
+    edges = [(rng.randint(0, 120), rng.randint(0, 120)) for _ in range(80)] + [(i, i + 1) for i in range(200, 260)] + [(7, 7)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    got = connected(spark.createDataFrame(edges, "src int, dst int"), spark.createDataFrame([(999,), (None,)], "node int"))
+    assert dict(map(tuple, got.collect())) == {x: find(x) for x in list(parent)} | {999: 999}
