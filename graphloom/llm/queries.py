@@ -9,7 +9,8 @@ from graphloom.llm.common import table
 
 
 def op1_simhash_near_dedup(spark, sf_dir):
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    # one row a document: its group, named by the least doc_id, and how many fingerprints are near to its own
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "group_id", "links", "keep")
 
 
 def op2_sentencepiece(spark, sf_dir):
