@@ -1,18 +1,25 @@
 """SimHash near-duplicates by pigeonhole blocks.
 
 Features are the distinct words of a text, each voting once on 128 bits.  Two texts are near if their
-fingerprints differ in at most `WHOLE` = 22 of the 128 bits, and in at most 2 bits of one of six blocks,
-three of 22, 21 and 21 bits in either half.  That is so for all pairs within 17 bits (six blocks with 3
-bits each make 18) and for all within `DISTANCE` = 8 bits of either half; only pairs of 18 to 22 bits that
-are spread over all six blocks are left out.  Each fingerprint is filed under every block value and its
-one-bit variations: two block values that are at most 2 bits apart then share a key.  Candidates meet in
-an equi-join on these keys and the exact Hamming distance is verified inside the join.  Equal fingerprints
-are collapsed beforehand, so the number of exact copies never enters the join; groups are the connected
-components of the pairs.
+fingerprints differ in at most `WHOLE` = 22 of the 128 bits, and `every_pair` finds all such pairs: the bits
+are cut into blocks with a tolerance each, and as the tolerances and one more for every block add up to 23,
+22 differing bits keep within the tolerance of one block at least.  Fingerprints are dealt to chunks; a task
+holds two of them sorted by a block and looks up each value of the one with all its variations within the
+tolerance in the other, in numpy.  Equal fingerprints are collapsed beforehand, so the number of exact
+copies never enters the search; groups are the connected components of the pairs.
+
+`pairs` and `near_pairs` meet in an equi-join instead, of three blocks of 22, 21 and 21 bits in a half and
+their one-bit variations.  `pairs` has all within `DISTANCE` = 8 bits of the first half; `near_pairs` has
+only those within 2 bits of one of six blocks, so it leaves out pairs of 18 to 22 bits that are spread over
+all six.  No query takes either.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -25,6 +32,8 @@ DISTANCE, WHOLE = 8, 22
 _SECOND = np.uint64(0xD1B54A32D192ED03)
 #: (shift, width) of the blocks of a half
 BLOCKS = ((42, 22), (21, 21), (0, 21))
+#: Fingerprints of a chunk, and candidates that are compared at a time.
+CHUNK, STEP = 1_000_000, 1 << 18
 
 _LANES = np.zeros(256, np.uint64)
 for _b in range(256):
@@ -133,6 +142,116 @@ def near_pairs(nodes: DataFrame, whole: int = WHOLE) -> DataFrame:
     return _meet(nodes, ("fp", "fp2"), F.bit_count(_first()) + F.bit_count(_rest()) <= whole)
 
 
+def _layout(n: int, whole: int) -> list[tuple[int, int, int, int]]:
+    """(half, shift, width, tolerance) of the blocks that find all pairs within `whole` bits; the cheapest for two chunks of n."""
+    best = n * n / 2, [(0, 0, 0, 0)]  # a block without bits: all pairs
+    for a_half in (3, 4, 5, 6, 8):
+        most, more = divmod(whole + 1, 2 * a_half)
+        blocks, cost = [], 0.0
+        for number in range(2 * a_half):
+            k = number // 2
+            width = 64 // a_half + (k < 64 % a_half)
+            shift = k * (64 // a_half) + min(k, 64 % a_half)
+            if (tolerance := most - (number >= more)) >= 0:
+                blocks.append((number % 2, shift, width, tolerance))
+                variations = sum(math.comb(width, i) for i in range(tolerance + 1))
+                # calls, look-ups and candidates; texts share words, so about twice as many as of random bits
+                cost += variations * (10_000 + n / 2 + n * n / 2**width)
+        best = min(best, (cost, blocks), key=lambda x: x[0])
+    return best[1]
+
+
+def _values(half: np.ndarray, shift: int, width: int) -> np.ndarray:
+    return (half >> np.uint64(shift)) & np.uint64((1 << width) - 1)
+
+
+def _search(a: np.ndarray, b: np.ndarray | None, whole: int, blocks: list[tuple[int, int, int, int]], number: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, distance) of the pairs a[:, i], b[:, j] within `whole` bits whose first block within its tolerance is `number`.
+
+    a and b hold both halves; without b these are the pairs inside a, each once.
+    """
+    half, shift, width, tolerance = blocks[number]
+
+    def by_value(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        value = _values(x[half], shift, width).astype(np.int32)
+        order = np.argsort(value, kind="stable")
+        return order, value[order], x[:, order]
+
+    order_a, value, a = by_value(a)
+    order_b, other, b = (order_a, value, a) if (same := b is None) else by_value(b)
+    first = np.zeros((1 << width) + 1, np.int32)
+    np.cumsum(np.bincount(other, minlength=1 << width), out=first[1:])
+    for turned in (t for k in range(tolerance + 1) for t in combinations(range(width), k)):
+        variation = sum(1 << t for t in turned)
+        if same and turned:
+            # of two values that differ in these bits the one without the highest looks up the other
+            rows = np.flatnonzero((value >> turned[-1]) & 1 == 0)
+            target = value[rows] ^ variation
+        else:
+            rows = np.arange(len(value))
+            target = value ^ variation
+        low = rows + 1 if same and not turned else first[target]
+        count = first[target + 1] - low
+        ends = np.cumsum(count, dtype=np.int64)
+        at = 0
+        while at < len(rows):
+            before = int(ends[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + STEP, "right")))
+            part, n, own = slice(at, to), int(ends[to - 1]) - before, rows[at:to]
+            at = to
+            if not n:
+                continue
+            j = np.arange(before, before + n) + np.repeat(low[part] - (ends[part] - count[part]), count[part])
+            apart = np.bitwise_count(np.repeat(a[half, own], count[part]) ^ b[half, j])
+            hit = np.flatnonzero(apart <= whole)
+            i, j = own[np.searchsorted(ends[part], before + hit, "right")], j[hit]
+            distance = apart[hit].astype(np.int32) + np.bitwise_count(a[1 - half, i] ^ b[1 - half, j])
+            good = distance <= whole
+            i, j, distance = i[good], j[good], distance[good]
+            for h, s, w, t in blocks[:number]:
+                good = np.bitwise_count(_values(a[h, i] ^ b[h, j], s, w)) > t
+                i, j, distance = i[good], j[good], distance[good]
+            if len(i):
+                yield order_a[i], order_b[j], distance
+
+
+def every_pair(nodes: DataFrame, whole: int = WHOLE, chunk: int = CHUNK) -> DataFrame:
+    """All (a, b, distance), a < b, of nodes (rep, fp, fp2) within `whole` of 128 bits, each once.
+
+    A task compares two chunks, or with few chunks some of their blocks, so a node is sent to as many tasks
+    as there are chunks, or to eight or so: 24 bytes each time.
+    """
+    total = nodes.count()
+    chunks = max(1, -(-total // chunk))
+    blocks = _layout(-(-total // chunks), whole)
+    shares = max(1, min(len(blocks), 8 // chunks))
+    own, other = F.pmod(F.xxhash64("rep"), F.lit(chunks)), F.expr(f"s div {shares}")
+    low, high = F.least(own, other), F.greatest(own, other)
+    task = ((high * (high + 1) / 2).cast("long") + low) * shares + F.col("s") % shares
+    sent = nodes.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(chunks * shares - 1))))
+    sent = sent.select(task.cast("int").alias("task"), ((own == high) & (low < high)).alias("second"), (low == high).alias("same"), "rep", "fp", "fp2")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a partition is a task
+        got = [x for x in batches if x.num_rows]
+        if not got:
+            return
+        rows = pa.Table.from_batches(got)
+        del got
+        share, same = rows.column("task")[0].as_py() % shares, rows.column("same")[0].as_py()
+        second, rep = rows.column("second").to_numpy(), rows.column("rep").to_numpy()
+        prints = np.stack([rows.column(c).to_numpy().view(np.uint64) for c in ("fp", "fp2")])
+        del rows
+        sides = (prints, None) if same else (prints[:, ~second], prints[:, second])
+        names = (rep, rep) if same else (rep[~second], rep[second])
+        for number in range(share, len(blocks), shares):
+            for i, j, distance in _search(*sides, whole, blocks, number):
+                x, y = names[0][i], names[1][j]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(distance)], ["a", "b", "distance"])
+
+    return sent.repartitionById(chunks * (chunks + 1) // 2 * shares, "task").mapInArrow(run, "a long, b long, distance int")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node of the component, by alternating large-star and small-star steps.
 
@@ -163,7 +282,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prints = cut(fingerprint_table(docs, id_col, text_col).groupBy("doc_id").agg(F.min(F.struct("fp", "fp2")).alias("f")).select("doc_id", "f.fp", "f.fp2"))
     nodes = cut(prints.where("fp is not null").groupBy("fp", "fp2").agg(F.min("doc_id").alias("rep")))
-    near = cut(near_pairs(nodes, whole).select("a", "b"))
+    near = cut(every_pair(nodes, whole).select("a", "b"))
     degree = near.select(F.explode(F.array("a", "b")).alias("end")).groupBy("end").agg(F.count("*").alias("links"))
     named = nodes.join(components(near), F.col("rep") == F.col("node"), "left").join(degree, F.col("rep") == F.col("end"), "left")
     named = named.select("fp", "fp2", F.coalesce("label", "rep").alias("group_id"), "links")

@@ -125,3 +125,57 @@ def test_texts_near_by_the_second_half_are_grouped(spark):
         found = two if first > 8 and second <= 8 and first + second <= 22 else None
     docs = spark.createDataFrame(list(enumerate(found)), "doc_id long, text string")
     assert {r.doc_id: r.group_id for r in simhash.near_duplicates(docs).collect()} == {0: 0, 1: 0}
+
+
+def spread(z):
+    """Whether differing bits are 22 at most, but 3 or more in each of the blocks of near_pairs."""
+    blocks = [((1 << w) - 1) << (64 * half + s) for half in (0, 1) for s, w in simhash.BLOCKS]
+    return z.bit_count() <= 22 and all((z & b).bit_count() > 2 for b in blocks)
+
+
+def test_texts_that_differ_in_every_block_are_grouped(spark):
+    rng = random.Random(4)
+    found = None
+    while not found:
+        words = [f"w{rng.randint(0, 9999)}" for _ in range(60)]
+        two = [" ".join(words), near(rng, words, 4)]
+        fp, fp2, _ = simhash.fingerprints(pa.array(two))
+        found = two if spread(int(fp[0] ^ fp[1]) | int(fp2[0] ^ fp2[1]) << 64) else None
+    docs = spark.createDataFrame(list(enumerate(found)), "doc_id long, text string")
+    assert {r.doc_id: (r.group_id, r.links) for r in simhash.near_duplicates(docs).collect()} == {0: (0, 1), 1: (0, 1)}
+
+
+def test_every_pair_is_found_by_any_layout_and_over_chunks(spark):
+    rng = np.random.default_rng(6)
+    prints = []
+    for center in rng.integers(0, 2**63, (40, 2)).astype(np.uint64).tolist():
+        for _ in range(12):
+            bits = rng.choice(128, int(rng.integers(0, 20)), replace=False).tolist()
+            prints.append([c ^ sum(1 << (b % 64) for b in bits if b // 64 == half) for half, c in enumerate(center)])
+    both = np.unique(np.array(prints, np.uint64), axis=0).T.copy()
+    all_ = [x | y << 64 for x, y in zip(*both.tolist())]
+    apart = [(i, j, x ^ y) for i, x in enumerate(all_) for j, y in enumerate(all_) if i < j]
+    assert sum(spread(z) for _, _, z in apart) > 20
+    for whole in (0, 3, 22):
+        want = sorted((i, j, z.bit_count()) for i, j, z in apart if z.bit_count() <= whole)
+        seen = set()
+        for n in (2, 10**4, 10**5, 10**6):
+            blocks = simhash._layout(n, whole)
+            seen.add(len(blocks))
+            got = [x for k in range(len(blocks)) for part in simhash._search(both, None, whole, blocks, k) for x in zip(*(y.tolist() for y in part))]
+            assert sorted((min(i, j), max(i, j), d) for i, j, d in got) == want
+    assert seen == {1, 12, 8, 6}
+    nodes = spark.createDataFrame([(7 * i, *x) for i, x in enumerate(both.T.view(np.int64).tolist())], "rep long, fp long, fp2 long")
+    for chunk in (1000, 300, 60):
+        assert sorted(map(tuple, simhash.every_pair(nodes, chunk=chunk).collect())) == [(7 * i, 7 * j, d) for i, j, d in want]
+    assert simhash.every_pair(nodes.limit(0)).count() == simhash.every_pair(nodes.limit(1)).count() == 0
+
+
+def test_a_crowded_block_is_searched_in_steps(monkeypatch):
+    monkeypatch.setattr(simhash, "STEP", 500)
+    rng = np.random.default_rng(7)
+    # one value in the first block, so all are candidates of all
+    both = np.unique(rng.integers(0, 2**63, (300, 2)).astype(np.uint64) & np.array([0xF0000, 0xFFFFF], np.uint64), axis=0).T.copy()
+    blocks = simhash._layout(10**5, 22)
+    want = np.triu(np.bitwise_count(both[0][:, None] ^ both[0]) + np.bitwise_count(both[1][:, None] ^ both[1]) <= 22, 1).sum()
+    assert want == sum(len(i) for k in range(len(blocks)) for i, _, _ in simhash._search(both, None, 22, blocks, k))
