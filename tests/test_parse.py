@@ -75,6 +75,18 @@ export const arrow = async (z) => { while (z) { z--; } };
 '''
 
 
+def test_variables_that_hold_functions_are_tagged_as_functions():
+    functions = ["(a) => 1", "a => 1", "async () => 1", "async a => 1", "async => 1", "(a): { b: C } => 1", "<T, U extends V<T>>(a: T) => a", "function (a) { return 1 }", "async function* g(a) { return 1 }", "function (a) {}"]
+    variables = ["1", "g(a => 1)", "(a || b).map(c => 1)", "(a) ? (b) : c => 1", "(function () {})()", "function () {}()", "function () {}.bind(a)", "<T>(a)", "{ f: () => 1 }", "[() => 1]", "new F(() => 1)", "await g(() => 1)"]
+    for found, kind in ((functions, "function"), (variables, "variable")):
+        for value in found:
+            for head, end in (("const x =", ";"), ("export const x =", ";"), ("let x =", "\nx;")):
+                tags = parse_file("src/a.ts", f"{head} {value}{end}")["tags"]
+                assert tags[0] == {"name": "x", "kind": kind}, (head, value)
+    for text, kind in (("let x;\ny = () => 1", "variable"), ("let x\ny = () => 1", "variable"), ("const x: (a: A) => B = (a) => 1;", "function"), ("const x: { a: A } = (a) => 1;", "function"), ("const x: M<A, () => B> = new M();", "variable"), ("let x!: A, y = () => 1;", "variable"), ("const x", "variable"), ("const x =", "variable"), ("const x = <", "variable")):
+        assert parse_file("src/a.ts", text)["tags"][0] == {"name": "x", "kind": kind}, text
+
+
 def test_script():
     f = parse_file("src/cart.ts", TS)
     assert edges(f) == [("react", "static", ["default", "us", "T"]), ("./ns", "static", ["*"]), ("./side.css", "side-effect", None), ("./ab", "re-export", ["a", "c"]), ("./all", "re-export", ["*"]), ("./lazy", "dynamic", None), ("./old", "require", None)]
