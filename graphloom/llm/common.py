@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -61,6 +62,14 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more
     return docs.select(integer(docs[id_col]).alias("doc_id"), docs[text_col].cast("string").alias("text"), *extra)
 
 
+def tidy() -> None:
+    """Gives memory that a worker has freed back to the system: Spark keeps idle workers, and they would hold it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim is not None:
+        trim(0)
+
+
 def per_slice(df: DataFrame, make: Callable[[pa.RecordBatch], dict], schema: str, text_col: str = "text", rows: int = 4096) -> DataFrame:
     """mapInArrow with batches cut into slices of bounded text; `make` gives a slice's output columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -77,6 +86,7 @@ def per_slice(df: DataFrame, make: Callable[[pa.RecordBatch], dict], schema: str
                 for c in range(a, b, rows):
                     made = make(batch.slice(c, min(b, c + rows) - c))
                     yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) and x.type == f.type else pa.array(x, f.type) if not isinstance(x, pa.Array) else x.cast(f.type) for x, f in zip((made[f.name] for f in out), out)], schema=out)
+        tidy()
 
     return df.mapInArrow(run, schema)
 
@@ -94,6 +104,7 @@ def keep_rows(docs: DataFrame, mask: Callable[[pa.Array], "object"], text_col: s
                 for c in range(a, b, 4096):
                     d = min(b, c + 4096)
                     yield batch.slice(c, d - c).filter(pa.array(mask(column.slice(c, d - c)), pa.bool_()))
+        tidy()
 
     return docs.mapInArrow(run, docs.schema)
 

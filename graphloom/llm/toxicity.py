@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import text as tx
-from graphloom.llm.common import integer, keep_rows, per_slice, texts
+from graphloom.llm.common import integer, keep_rows, per_slice, texts, tidy
 
 SIZES = (3, 4, 5, 6)
 BITS = 20
@@ -26,6 +26,8 @@ MAX_TRAIN = 4000
 #: Share of the sample that is held out to choose the threshold.
 HELD_OUT = 0.25
 MAX_FALSE_ALARMS = 0.002
+#: N-grams that are counted at a time; a bound on scratch memory.
+AT_ONCE = 1 << 20
 
 
 def word_grams(data: np.ndarray, at: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -108,8 +110,11 @@ def fit(column: pa.Array, toxic: np.ndarray, seed: int = 7, rounds: int = 150, l
     train = ~held
 
     def counts(mask: np.ndarray) -> np.ndarray:
-        per_word = np.bincount(own, mask[doc].astype(np.float64), words)
-        return np.bincount(buckets, per_word[gram_word], 1 << BITS)
+        per_word = np.bincount(own[mask[doc]], minlength=words)
+        out = np.zeros(1 << BITS)
+        for a in range(0, len(buckets), AT_ONCE):
+            out += np.bincount(buckets[a : a + AT_ONCE], per_word[gram_word[a : a + AT_ONCE]], 1 << BITS)
+        return out
 
     positive, negative = counts(train & (toxic == 1)), counts(train & (toxic == 0))
     total = max(positive.sum() + negative.sum(), 1.0)
@@ -123,6 +128,7 @@ def fit(column: pa.Array, toxic: np.ndarray, seed: int = 7, rounds: int = 150, l
     column_of[used] = np.arange(len(used))
     live = column_of[buckets] >= 0
     feature, feature_word = column_of[buckets[live]], gram_word[live]
+    del buckets, gram_word, grams, live
     scale = ratio[used]
 
     w, bias = np.full(len(used), 0.1), -2.0
@@ -177,6 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, seed:
 def _fit_table(rows: pa.Table) -> pa.Table:
     rows = rows.sort_by("doc_id")
     model = fit(rows.column("text").combine_chunks(), rows.column("toxic").to_numpy())
+    tidy()
     return pa.table({"weight": pa.array([model.weight.tobytes()], pa.binary()), **{k: [getattr(model, k)] for k in ("bias", "threshold", "accuracy", "recall", "false_alarms")}})
 
 

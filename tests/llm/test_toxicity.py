@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -59,3 +60,17 @@ def test_training_and_edge_cases(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
     nothing = toxicity.train(docs, labels.limit(0))
     assert toxicity.drop_toxic(docs, nothing).count() == docs.count(), "without labels nothing is toxic"
+
+
+def test_fit_counts_in_blocks():
+    rng = np.random.default_rng(5)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    words = np.array(["".join(x) for x in letters[rng.integers(0, 26, (500_000, 8))]]).reshape(1000, 500)
+    column, toxic = pa.array([" ".join(x) for x in words]), rng.integers(0, 2, 1000)
+    grams = len(toxicity._vocabulary(column)[2])
+    tracemalloc.start()
+    toxicity.fit(column, toxic, rounds=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # 17 bytes an n-gram; with a wide copy of its bucket and of its word's count it was 26
+    assert grams > 10_000_000 and peak < 22 * grams
