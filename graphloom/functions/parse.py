@@ -25,6 +25,8 @@ SCHEMA = (
     "exports ARRAY<STRUCT<name: STRING, doc: STRING, flags: ARRAY<STRING>, signature: STRING>>, tags ARRAY<STRUCT<name: STRING, kind: STRING>>, "
     "functions ARRAY<STRUCT<name: STRING, line: INT, complexity: INT, cognitive: INT>>, calls ARRAY<STRUCT<from_fn: STRING, to_fn: STRING, specifier: STRING>>"
 )
+#: Parse tasks for each core, so that slow files even out.
+TASKS_A_CORE = 4
 _EMPTY = {"imports": [], "exports": [], "tags": [], "category": "other", "functions": [], "calls": [], "description": None, "complexity": None, "cognitive": None}
 
 
@@ -44,7 +46,10 @@ def parse_file(path: str, text: str, config: ClassifyConfig = DEFAULT, more: dic
 
 
 def parse_table(files: DataFrame, config: ClassifyConfig = DEFAULT, more: dict[str, Parser] | None = None) -> DataFrame:
-    """`SCHEMA` rows of files (path, mtime, size, content): each file is parsed on its own, in Arrow batches."""
+    """`SCHEMA` rows of files (path, mtime, size, content): each file is parsed on its own, in Arrow batches.
+
+    Files are dealt out to all cores first: a table of few bytes may be read by one task, and parsing takes far longer than reading.
+    """
     schema = to_arrow_schema(StructType.fromDDL(SCHEMA))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,4 +62,7 @@ def parse_table(files: DataFrame, config: ClassifyConfig = DEFAULT, more: dict[s
                     rows.append({**parse_file(f["path"], text, config, more), **f})
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return files.select("path", F.col("mtime").cast("double"), F.col("size").cast("bigint"), "content").mapInArrow(run, SCHEMA)
+    spark = files.sparkSession
+    tasks = max(TASKS_A_CORE * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = files.select("path", F.col("mtime").cast("double"), F.col("size").cast("bigint"), "content").repartition(tasks, "path")
+    return dealt.mapInArrow(run, SCHEMA)

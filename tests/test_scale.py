@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom.functions.parse import parse_table
 from graphloom.operators import graph
 from graphloom.plans import packed, traverse
 from graphloom.plans.model import CodeGraph
@@ -88,3 +89,9 @@ def test_each_file_goes_to_its_least_hub_without_a_row_for_each_pair(spark, monk
         if over:
             want[f"f{i:03}"] = f"f{min(over, key=lambda h: (degree[h], h)):03}"
     assert want and dict(map(tuple, graph.feature_assignment(made_graph(spark, 40, edges)).collect())) == want
+
+
+def test_files_of_one_partition_are_parsed_by_all_cores(spark):
+    files = spark.range(400).select(F.concat(F.lit("a"), "id", F.lit(".py")).alias("path"), F.lit(0.0).alias("mtime"), F.lit(1).alias("size"), F.lit("import os\n").alias("content")).coalesce(1)
+    each = [r["count"] for r in parse_table(files).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(each) == 400 and max(each) < 100
