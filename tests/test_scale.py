@@ -95,3 +95,26 @@ def test_files_of_one_partition_are_parsed_by_all_cores(spark):
     files = spark.range(400).select(F.concat(F.lit("a"), "id", F.lit(".py")).alias("path"), F.lit(0.0).alias("mtime"), F.lit(1).alias("size"), F.lit("import os\n").alias("content")).coalesce(1)
     each = [r["count"] for r in parse_table(files).groupBy(F.spark_partition_id()).count().collect()]
     assert sum(each) == 400 and max(each) < 100
+
+
+@pytest.mark.parametrize("in_task", [packed.IN_TASK, 0])
+def test_blast_radius_of_every_file(spark, tmp_path, monkeypatch, in_task):
+    monkeypatch.setattr(packed, "IN_TASK", in_task)
+    rng = random.Random(11)
+    edges = [(rng.randint(0, 29), rng.randint(0, 29)) for _ in range(36)] + [(31, 32), (32, 33), (33, 32), (34, 33), (32, 35), (35, 36), (37, 36), (38, 38)]
+    g = made_graph(spark, 40, edges)
+    name = lambda i: f"f{i:03}"
+    want = {(name(i), name(a)) for a in range(40) for i in after(edges, a) if a != i}
+    pairs = [(r.path, r.affected) for r in graph.impact_pairs(g).collect()]
+    assert len(pairs) == len(want) and set(pairs) == want
+    kept = graph.build_impact(g)
+    kept.save(str(tmp_path / "impact"))
+    for impact in (kept, graph.load_impact(spark, str(tmp_path / "impact"))):
+        for i in (0, 3, 17, 32, 33, 36, 38, 39):
+            assert sorted(r.path for r in impact.lookup(name(i)).collect()) == sorted(a for p, a in want if p == name(i)), i
+
+
+def test_files_behind_a_cycle_share_what_depends_on_it(spark):
+    edges = [(i, (i + 1) % 20) for i in range(20)] + [(5, 20), (20, 21), *((21, i) for i in range(22, 40))]
+    radius = graph.build_impact(made_graph(spark, 40, edges)).radius
+    assert radius.select(F.sum(F.size("affected"))).first()[0] < 70, "780 pairs without sharing"
