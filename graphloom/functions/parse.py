@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -45,6 +45,11 @@ def parse_file(path: str, text: str, config: ClassifyConfig = DEFAULT, more: dic
     return found
 
 
+def parse_tasks(spark: SparkSession) -> int:
+    """Tasks for work that takes far longer than its bytes tell."""
+    return max(TASKS_A_CORE * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def parse_table(files: DataFrame, config: ClassifyConfig = DEFAULT, more: dict[str, Parser] | None = None) -> DataFrame:
     """`SCHEMA` rows of files (path, mtime, size, content): each file is parsed on its own, in Arrow batches.
 
@@ -62,7 +67,5 @@ def parse_table(files: DataFrame, config: ClassifyConfig = DEFAULT, more: dict[s
                     rows.append({**parse_file(f["path"], text, config, more), **f})
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    spark = files.sparkSession
-    tasks = max(TASKS_A_CORE * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = files.select("path", F.col("mtime").cast("double"), F.col("size").cast("bigint"), "content").repartition(tasks, "path")
+    dealt = files.select("path", F.col("mtime").cast("double"), F.col("size").cast("bigint"), "content").repartition(parse_tasks(files.sparkSession), "path")
     return dealt.mapInArrow(run, SCHEMA)

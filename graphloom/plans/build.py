@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.classify import DEFAULT, STYLE_EXTENSIONS, ClassifyConfig
-from graphloom.functions.parse import Parser, parse_table
+from graphloom.functions.parse import Parser, parse_table, parse_tasks
 from graphloom.operators.enrich import package_of
 from graphloom.operators.reports import is_test_path, owners
 from graphloom.plans.model import CodeGraph
@@ -82,8 +82,11 @@ def _candidates(edges: DataFrame, options: BuildOptions) -> DataFrame:
     for name, tails in PROBES.items():
         probe = F.when(kind == name, F.array(*[F.lit(t) for t in tails])).otherwise(probe)
     probe = F.when(F.col("is_style"), F.array(*[F.lit(t) for t in PROBES["style"]])).otherwise(F.coalesce(probe, F.array(F.lit(""))))
-    every = F.flatten(F.transform(bases, lambda b: F.transform(probe, lambda t: F.concat(b, t))))
-    return edges.select("*", F.posexplode(every).alias("priority", "raw")).withColumn("candidate", normalize(F.col("raw"))).drop("raw").where("candidate is not null and candidate <> ''")
+    # a base that ends in a name is made plain once, before its endings
+    named = lambda b: ~b.rlike(r"(^|/)\.{0,2}$")
+    plain = F.transform(bases, lambda b: F.struct(b.alias("raw"), named(b).alias("named"), F.when(named(b), normalize(b)).alias("plain")))
+    every = F.flatten(F.transform(plain, lambda b: F.transform(probe, lambda t: F.when(b["named"], F.concat(b["plain"], t)).otherwise(normalize(F.concat(b["raw"], t))))))
+    return edges.select("*", F.posexplode(every).alias("priority", "candidate")).where("candidate is not null and candidate <> ''")
 
 
 def resolve(edges: DataFrame, files: DataFrame, options: BuildOptions = BuildOptions()) -> DataFrame:
@@ -93,7 +96,8 @@ def resolve(edges: DataFrame, files: DataFrame, options: BuildOptions = BuildOpt
     row, any other is external; a Go package leads to all its files that are no tests.
     """
     key = ["folder", "bucket", "specifier", "is_style"]
-    asked = edges.select(*key).distinct()
+    # each row here becomes ten or more candidates, so all cores share them
+    asked = edges.select(*key).repartition(parse_tasks(edges.sparkSession), *key).distinct()
     none = F.lit(None).cast("string")
     answer = lambda df, package=none: df.select(*key, "to_path", F.lit(False).alias("is_external"), package.alias("workspace_package"))
     without = lambda df, found: df.join(found.select(*key).distinct(), key, "left_anti")
@@ -103,7 +107,7 @@ def resolve(edges: DataFrame, files: DataFrame, options: BuildOptions = BuildOpt
     if options.resolver is not None:
         own = cut(options.resolver(asked, files).select(*key, "to_path"))
         local, rest = answer(own), without(asked, own)
-    found = best(_candidates(rest.where("bucket <> 'go' or specifier like '.%'"), options))
+    found = cut(best(_candidates(rest.where("bucket <> 'go' or specifier like '.%'"), options)))
     local = local.unionByName(answer(found))
     if options.go_module or options.go_replaces:
         folder = F.regexp_replace("path", r"/?[^/]*$", "")

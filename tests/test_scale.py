@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.parse import parse_table
 from graphloom.operators import graph
-from graphloom.plans import packed, traverse
+from graphloom.plans import build, packed, traverse
 from graphloom.plans.model import CodeGraph
 from graphloom.plans.virtual import load
 
@@ -118,3 +118,30 @@ def test_files_behind_a_cycle_share_what_depends_on_it(spark):
     edges = [(i, (i + 1) % 20) for i in range(20)] + [(5, 20), (20, 21), *((21, i) for i in range(22, 40))]
     radius = graph.build_impact(made_graph(spark, 40, edges)).radius
     assert radius.select(F.sum(F.size("affected"))).first()[0] < 70, "780 pairs without sharing"
+
+
+def test_candidates_are_found_once_and_plain(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(build, "cut", lambda df, real=build.cut: (calls.append(plan(df)), real(df))[1])
+    rows = [("a/b", s) for s in ("./x", "../x", "../../../x", "./", ".", "..", "./y/../x", "/x", "a//x", "x/.", "../a/b/..")]
+    asked = spark.createDataFrame([(f, "script", s, False) for f, s in rows], "folder STRING, bucket STRING, specifier STRING, is_style BOOLEAN")
+    candidates = {(r.specifier, r.candidate) for r in build._candidates(asked, build.BuildOptions()).collect()}
+    bases = {s: f"a/b/{s}" if s.startswith(".") else s for _, s in rows}
+    want = set()
+    for s, base in bases.items():
+        for tail in build.PROBES["script"]:
+            out = []
+            for part in (base + tail).split("/"):
+                if part == ".." and not out:
+                    out = [".."]
+                elif part == "..":
+                    out.pop()
+                elif part not in ("", "."):
+                    out.append(part)
+            if ".." not in out and out:
+                want.add((s, "/".join(out)))
+    assert candidates == want
+    files = spark.createDataFrame([("a/b/x.ts",), ("a/x/index.ts",)], "path STRING")
+    got = {r.specifier: r.to_path for r in build.resolve(asked, files).collect() if not r.is_external}
+    assert got == {"./x": "a/b/x.ts", "./y/../x": "a/b/x.ts", "../x": "a/x/index.ts", "a//x": "a/x/index.ts"}
+    assert sum("Generate" in p for p in calls) == 1, "candidates are made once"
